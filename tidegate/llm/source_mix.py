@@ -8,13 +8,15 @@ and the number of documents, until one of them is 0 or 1 and the next document t
 That flight runs in chunks of a bounded number of documents, dealt by a hash of the id, so a source
 of any size spreads over tasks. At most two documents of a chunk stay fractional; these go into a
 flight of their own, and so on, until each source has one chunk. What that leaves is the landing:
-the at most two documents of a source get the copies that bring its tokens nearest to the target.
+the at most two documents of a source get the copies that bring its tokens nearest to the target, and
+one document of that last chunk may still change places with another for the same end.
 Long documents fly first, so that short ones are left. All draws come from hashes and a seed.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import product
 
@@ -86,6 +88,27 @@ def landing(sizes: list[int], probs: list[float]) -> list[float]:
     return out
 
 
+def settle(sizes: list[int], meant: float, drawn: list[float]) -> list[float]:
+    """The draw with one document in, one out, or one for another, if that brings the tokens nearer to what was meant.
+
+    Long documents that the flight leaves can't land near a small source's target by themselves."""
+    missing = meant - sum(s * x for s, x in zip(sizes, drawn))
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    out_, in_ = [i for i in order if drawn[i] == 0], [i for i in order if drawn[i] == 1]
+    best: tuple[float, int, tuple[int, ...]] = (abs(missing), 0, ())
+    waiting = [sizes[i] for i in out_]
+    for leaves in (None, *in_):
+        want = missing + (sizes[leaves] if leaves is not None else 0)
+        at = bisect_left(waiting, want)
+        for enters in (None, *out_[max(0, at - 1) : at + 1]):
+            moved = tuple(i for i in (leaves, enters) if i is not None)
+            best = min(best, (abs(want - (sizes[enters] if enters is not None else 0)), len(moved), moved))
+    got = list(drawn)
+    for i in best[2]:
+        got[i] = 1.0 - got[i]
+    return got
+
+
 def _fly(seed: int, level: int, last: bool):
     """Flights of a partition sorted by (source number, chunk, size down, hash, id); holds one chunk at a time."""
 
@@ -97,7 +120,7 @@ def _fly(seed: int, level: int, last: bool):
                 table = pa.Table.from_batches(held).combine_chunks()
                 sizes, probs = table["size"].to_pylist(), table["prob"].to_pylist()
                 got = flight(sizes, probs, [seed, level, *now])
-                got = landing(sizes, got) if last else got
+                got = settle(sizes, sum(s * p for s, p in zip(sizes, probs)), landing(sizes, got)) if last else got
                 yield from table.set_column(table.schema.get_field_index("prob"), "prob", pa.array(got, pa.float64())).to_batches()
 
         for batch in batches:
