@@ -1 +1 @@
-"""."""
+"""DataFrame operators, keyed by series_id."""

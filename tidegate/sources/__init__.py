@@ -1 +1 @@
-"""."""
+"""Sources and sinks of price series, events, models and results."""

@@ -1 +1 @@
-"""."""
+"""Frozen models over live series."""
