@@ -1 +1 @@
-"""."""
+"""Experiments: configuration, registry, runner, reports and the command line."""
