@@ -17,14 +17,14 @@ U = np.uint64
 SLICE_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, and 5 modulo 8
 _rng = np.random.Generator(np.random.PCG64(20240611))
-_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 #: Values of bytes, with A-Z as a-z.
-LOWER_VALUES = _VALUES[_LOWER]
+LOWER_VALUES = VALUES[_LOWER]
 #: For normalised words: ASCII letters, digits and all bytes beyond ASCII; the rest parts words.
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False

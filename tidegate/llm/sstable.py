@@ -15,6 +15,7 @@ keys; a footer of fixed size points to both. A lookup reads footer, filter, inde
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _blobs
+from . import _blobs, _vec
 from ._base import Scratch, need, quoted, schema
 
 MAGIC = b"TGSST\x00\x01\n"
@@ -35,6 +36,7 @@ ENTRY = struct.Struct(">QQQQ")
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 BITS_PER_KEY, HASHES = 10, 7
+TEXT_BYTES = 1 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -175,72 +177,164 @@ class ShardReader:
         return out
 
 
+#: Classes of bytes. SOLID ones can't begin or be white space of any kind; bytes that may begin a white space character beyond ASCII count as neither.
+_ASCII = np.zeros(256, bool)
+_ASCII[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCT = _ASCII & ~_LETTER
+_PUNCT[48:58] = False
+_SOLID = _ASCII.copy()
+_SOLID[0x80:] = True
+_SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of parts of the texts that the byte-level pattern never joins, whatever stands around them.
+
+    Its pieces look at no character before them. A part starts at a space before a solid byte; at punctuation behind a letter; at a
+    line end behind a solid character; and behind such a line end, if it is alone."""
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        solid, ascii_, newline = _SOLID[data], _ASCII[data], data == 0x0A
+        cut[: n - 1] = (data[:-1] == 0x20) & solid[1:]
+        cut[offsets[1:] - 1] = False  # what follows is another text
+        cut[1:n] |= _LETTER[data[:-1]] & _PUNCT[data[1:]] | newline[1:] & ascii_[:-1]
+        cut[2:n] |= newline[1:-1] & ascii_[:-2] & solid[2:]
+    cut[offsets] = True
+    cut[n] = False
+    return np.flatnonzero(cut[:n])
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a cache of a bounded number of pieces.
+    """Ids of whole texts by the tokenizers library, which sees each distinct piece of the texts once.
 
-    A space before a character that isn't white space always starts a new piece of a byte-level
-    tokenizer's pattern, and its pattern looks at no character before a piece; so a text is cut there and each part
-    is encoded once. Parts that start with white space, or are empty, can join the part before: a text that has
-    one is encoded whole."""
+    Pieces are found and hashed (64 bits) for a batch at a time in numpy, and their ids gathered from a pool; only unseen pieces go
+    to the library, many in one string, parted so that they stay pieces. The pool holds a bounded number of pieces and
+    starts anew beyond. Tokenizers that aren't byte-level with the usual pattern get the whole texts."""
 
-    MOST = 300_000
+    MOST, SLOTS = 1_000_000, 1 << 21
 
     def __init__(self, path: str, wide: bool | None = None):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 if wide is None else wide
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.cache: dict[str, bytes | None] = {}
-        self.by_parts = self._cuts_at_spaces()
-
-    def _cuts_at_spaces(self) -> bool:
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.starts, self.counts, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.pool, self.filled = np.zeros(1 << 18, self.dtype), 0
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot = np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self.place[slot[hit]]
+            go = ~hit & (key != 0)
+            left, slot = left[go], (slot[go] + 1) & (self.SLOTS - 1)
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """New, distinct hashes."""
+        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[slot[take]], self.place[slot[take]] = h[take], entry[take]
+            rest = np.ones(len(h), bool)
+            rest[take] = False
+            h, entry, slot = h[rest], entry[rest], (slot[rest] + 1) & (self.SLOTS - 1)
+
+    def _learn(self, h: np.ndarray, parts: list[bytes]) -> None:
+        """Ids of unseen parts. Parts of solid bytes, with or without a space before, share a string: such a space starts a piece
+        behind anything, and so does a line end between solid characters; others are encoded alone."""
+        ids: list[list[int] | np.ndarray] = [[]] * len(parts)
+        solid = [i for i, p in enumerate(parts) if len(p) > (p[0] == 0x20) and _SOLID[np.frombuffer(p, np.uint8)[int(p[0] == 0x20) :]].all()]
+        chosen = set(solid)
+        alone = [i for i in range(len(parts)) if i not in chosen]
+        for i, got in zip(alone, self.whole([parts[i].decode("utf-8", "replace") for i in alone])):
+            ids[i] = got
+        line = self.whole(["\n"])[0]
+        for a in range(0, len(solid), 8192):
+            group, texts, spare = solid[a : a + 8192], [], []
+            for i in group:
+                t = parts[i].decode("utf-8", "replace")
+                spare.append(0 if t[0] == " " or not texts else len(line))
+                texts.append(t if t[0] == " " or len(texts) == 0 else "\n" + t)
+            got = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+            firsts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            cuts = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets)), firsts, "left")
+            all_ = np.array(got.ids, self.dtype)
+            for k, i in enumerate(group):
+                ids[i] = all_[cuts[k] + spare[k] : cuts[k + 1]]
+        counts = np.array([len(x) for x in ids], np.int32)
+        total, n = int(counts.sum()), len(parts)
+        while self.n + n > len(self.starts):
+            self.starts, self.counts = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.counts))
+        while self.filled + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        if total:
+            self.pool[self.filled : self.filled + total] = np.concatenate([np.asarray(x, self.dtype) for x in ids])
+        self.starts[self.n : self.n + n] = self.filled + np.cumsum(counts) - counts
+        self.counts[self.n : self.n + n] = counts
+        self._insert(h, np.arange(self.n, self.n + n))
+        self.n, self.filled = self.n + n, self.filled + total
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids start, with the total at the end) of UTF-8 texts."""
+        texts = len(offsets) - 1
         if not self.by_parts:
-            return self.whole(texts)
-        cache = self.cache
-        split = [t.split(" ") for t in texts]
-        wanted: dict[str, None] = {}
-        for parts in split:
-            wanted.update(dict.fromkeys(parts[1:]))
-        if len(cache) + len(wanted) > self.MOST:
-            cache.clear()
-        fresh = [w for w in wanted if w not in cache]
-        good = [w for w in fresh if w and not w[0].isspace()]
-        cache.update(dict.fromkeys(fresh))
-        for a in range(0, len(good), 20_000):
-            part = good[a : a + 20_000]
-            cache.update(zip(part, self.whole([" " + w for w in part])))
-        heads = self.whole([p[0] for p in split])
-        out: list[bytes | None] = []
-        for head, parts in zip(heads, split):
-            try:
-                out.append(head + b"".join([cache[w] for w in parts[1:]]))
-            except TypeError:
-                out.append(None)
-        odd = [i for i, x in enumerate(out) if x is None]
-        for i, got in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = got
-        return out
+            raw = data.tobytes()
+            got = self.whole([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in range(texts)])
+            return np.array([x for g in got for x in g], self.dtype), np.concatenate(([0], np.cumsum([len(g) for g in got], dtype=np.int64)))
+        starts = pieces(data, offsets[: texts + 1]) if len(data) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        h = np.maximum(_vec.hashes(data, starts, ends, _vec.VALUES), np.uint64(1))
+        entry = self._find(h)
+        if (entry < 0).any():
+            if self.n > self.MOST:
+                self.reset()
+                entry[:] = -1
+            new, first = np.unique(h[entry < 0], return_index=True)
+            at = np.flatnonzero(entry < 0)[first]
+            raw = data.tobytes()
+            self._learn(new, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            entry = self._find(h)
+        counts = self.counts[entry].astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.pool[np.repeat(self.starts[entry] - before[:-1], counts) + np.arange(int(before[-1]))]
+        return ids, before[np.searchsorted(starts, offsets)]
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder; its pool serves the worker's next tasks too."""
+    return Encoder(path)
 
 
 def _write(root: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, files, done = Encoder(tokenizer), _blobs.Writer(root, ".sst"), []
-        end, writer, name = encoder.pack([end_id]), None, None
+        encoder, files, done = _encoder(tokenizer), _blobs.Writer(root, ".sst"), []
+        end, writer, name = np.array([end_id], encoder.dtype).tobytes(), None, None
 
         def close() -> None:
             nonlocal writer
@@ -250,15 +344,14 @@ def _write(root: str, tokenizer: str, end_id: int):
             writer = None
 
         for batch in batches:
-            ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(ids), 256):
-                texts = [t or "" for t in column.slice(a, 256).to_pylist()]
-                for doc_id, value in zip(ids[a : a + 256], encoder.encode(texts)):
+            ids = batch.column(0).to_pylist()
+            for first, data, offsets in _vec.slices(batch.column(1), TEXT_BYTES):
+                tokens, at = encoder.encode(data, offsets)
+                for i in range(len(offsets) - 1):
                     if writer is None:
                         name, stream = files.create()
                         writer = ShardWriter(stream, encoder.wide)
-                    value += end
-                    writer.add(key_of(doc_id), value, len(value) // encoder.dtype.itemsize)
+                    writer.add(key_of(ids[first + i]), tokens[at[i] : at[i + 1]].tobytes() + end, int(at[i + 1] - at[i]) + 1)
                     if writer.at >= SHARD_BYTES:
                         close()
         close()
