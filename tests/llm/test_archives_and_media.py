@@ -86,14 +86,21 @@ def test_encoder_equals_the_library():
     tokenizer = Tokenizer.from_file(TOKENIZER)
     tokenizer.encode_special_tokens = True
     rng = random.Random(1)
-    alphabet = ["a", "é", " ", "  ", "\n", "\t", "'", "s", "1", ".", "\xa0", "　", "漢", "\x1c", "B", " x"]
+    alphabet = ["a", "é", " ", "  ", "\n", "\t", "'", "s", "1", ".", "\xa0", "　", "漢", "\x1c", "B", " x", "\n\n", "\r\n", ",", " .", "¿", "\x00", "\x85"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
-    encoder = sstable.Encoder(TOKENIZER)
-    assert encoder.by_parts
-    for most in (300_000, 50):
-        encoder.MOST = most
-        got = [np.frombuffer(b, encoder.dtype).tolist() for a in range(0, len(texts), 100) for b in encoder.encode(texts[a : a + 100])]
-        assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for most in (10**6, 50):
+        encoder = sstable.Encoder(TOKENIZER)
+        assert encoder.by_parts
+        encoder.MOST, got = most, []
+        for a in range(0, len(texts), 100):
+            raw = [t.encode() for t in texts[a : a + 100]]
+            ids, at = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+            got += [ids[at[i] : at[i + 1]].tolist() for i in range(len(raw))]
+        assert got == want
+    encoder.by_parts = False
+    ids, at = encoder.encode(np.frombuffer(b"a b", np.uint8), np.array([0, 0, 3]))
+    assert (ids.tolist(), at.tolist()) == (want[texts.index("a")] + tokenizer.encode(" b").ids, [0, 0, 2])
 
 
 def test_tables_round_trip_and_lookup(monkeypatch):
@@ -282,7 +289,7 @@ def test_differencing_deletes_what_neighbours_share(spark, monkeypatch):
     want |= {10: full(10, "alone"), 11: full(11, "nowhere"), 12: full(12, "bad"), 13: "", 14: full(1, "t")}
     for many in (False, True):
         data = rows + ([(100 + i, f"http://big.example/p/{i:04d}", site(100 + i, f"own {i}")) for i in range(900)] if many else [])
-        got = html_text.extract(pages_of(spark, data)).collect()
+        got = html_text.extract(pages_of(spark, data), range_pages=50 if many else 512).collect()
         assert len(got) == len(data)
         assert all(r["text"] == want[r["page_id"]] for r in got if r["page_id"] < 100)
         assert all(r["text"] == f"own {r['page_id'] - 100}\n\nArticle {r['page_id']}" and abs(r["partner_id"] - r["page_id"]) == 1 for r in got if r["page_id"] >= 100)

@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import html as _html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ CONTENT = frozenset("article articlebody content maincontent post entry story".s
 _TAG = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
-SPACE = " \t\n\r\f\v\xa0"
 _SPACE = re.compile(r"\s+")
+SAMPLE_A_RANGE = 16
 
 
 @dataclass
@@ -260,14 +261,14 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = 4096) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_pages: int = 512) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared_lines, partner_id) for each row of pages.
 
     text: the main text, blocks in page order with an empty line between; empty if there is none, as for null
     html. n_chars: its code points. Pages without URL or host, and the only page of a host, have no partner; structure
     alone decides then. Pages with equal URLs are ordered by id and are each other's nearest. Each row gives a row,
-    repeated ones too; an empty table gives an empty table. Other columns are ignored. `sample` bounds (about) the URLs that
-    choose the ranges; it doesn't change results.
+    repeated ones too; an empty table gives an empty table. Other columns are ignored. A range has about range_pages pages, more beyond
+    50,000 ranges; its bounds come from about SAMPLE_A_RANGE URLs for each. Neither changes results.
     """
     need(pages, (id_col, url_col, html_col), "extract")
     spark = pages.sparkSession
@@ -279,12 +280,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(quoted(id_col).cast("long").alias("id"), url.alias("url"), quoted(html_col).cast("string").alias("html"), key.alias("key"))
     light = rows.select("key")
     n = light.count()
-    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1000, n // 64))
-    h = F.xxhash64("key")
-    some = sorted(r["key"] for r in light.where(h <= int(-(2**63) + 2**64 * min(1.0, sample / max(1, n))) if n > sample else F.lit(True)).select("key").collect())
+    ranges = max(1, min(n // range_pages, 50_000))
+    wanted = min(1.0, SAMPLE_A_RANGE * ranges / max(1, n))
+    some = sorted(r["key"] for r in light.where(F.xxhash64("key") <= int(-(2**63) + 2**64 * wanted) if wanted < 1 else F.lit(True)).collect())
     bounds = sorted({some[len(some) * i // ranges] for i in range(1, ranges)}) if some else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("key"))).cast("int") if bounds else F.lit(0)
-    rows = rows.withColumn("part", part)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: bisect_right(bounds, k)).astype("int32")
+
+    rows = rows.withColumn("part", range_of("key") if bounds else F.lit(0))
     if bounds:
         ends = sorted((r["part"], r["low"], r["high"]) for r in rows.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect())
         also: dict[str, list[int]] = {}
@@ -298,6 +303,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         rows = rows.select("id", "url", "html", "key", F.explode(places).alias("p")).select("p.part", "id", "url", "html", "p.halo", "key")
     else:
         rows = rows.select("part", "id", "url", "html", F.lit(False).alias("halo"), "key")
-    dealt = rows.repartition(ranges, "part").sortWithinPartitions("part", "key").select("part", "id", "url", "html", "halo")
+    dealt = rows.repartition(-(-ranges // 2), "part").sortWithinPartitions("part", "key").select("part", "id", "url", "html", "halo")
     out = dealt.mapInArrow(_run, RESULT)
     return out.withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
