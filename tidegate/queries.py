@@ -6,6 +6,8 @@ key as order of arrival, raw series with duplicates.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -809,6 +811,85 @@ def search_models(spark, sf_dir):
     return neat(search.top(search.search_models(prices, bars.where("t % 37 = 5").select(SERIES, "t"), search.model_grid()[:2], "surprise", search.Grid((1.0, 2.0), (1,), (0, 5)), max_iter=30)).drop("alarms"))
 
 
+# --- further sources, checks and tables ----------------------------------------------------------
+
+METAL = "to_json(named_struct('nominal', 'XAU', 'data', array(named_struct('date', date_format(o_orderdate, 'yyyy-MM-dd'), 'price', if(o_orderkey % 5 = 0, '.', cast(o_custkey as string))))))"
+EQUITY = "concat('{\"Meta Data\": {\"2. Symbol\": \"SPY\"}, \"Time Series (Daily)\": {\"', date_format(o_orderdate, 'yyyy-MM-dd'), '\": {', if(o_orderkey % 3 = 0, '\"5. adjusted close\": \"7.5\", ', ''), '\"4. close\": \"', if(o_orderkey % 4 = 0, 'n/a', cast(o_custkey as string)), '\"}}}')"
+
+
+@query("decode_metal", "SELECT 'gold' AS symbol, 'daily' AS \"interval\", 'XAU' AS name, 'USD' AS unit, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts, o_custkey::DOUBLE AS value FROM orders WHERE o_orderkey % 5 <> 0")
+def decode_metal(spark, sf_dir):
+    return vendor.decode_metal(table(spark, sf_dir, "orders").select(F.lit("gold").alias("symbol"), F.lit("daily").alias("interval"), F.expr(METAL).alias("payload")))
+
+
+@query("decode_equity", "SELECT 'spy' AS symbol, 'daily' AS \"interval\", 'SPY Adjusted Close' AS name, 'USD' AS unit, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts, CASE WHEN o_orderkey % 3 = 0 THEN 7.5::DOUBLE ELSE o_custkey::DOUBLE END AS value FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 <> 0")
+def decode_equity(spark, sf_dir):
+    return vendor.decode_equity(table(spark, sf_dir, "orders").select(F.lit("spy").alias("symbol"), F.lit("daily").alias("interval"), F.expr(EQUITY).alias("payload")))
+
+
+@query("instruments", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x[0]}', {len(vendor.supported(k))}::BIGINT)" for k, x in vendor.INSTRUMENTS.items()) + ") AS t(symbol, kind, n_intervals)")
+def instruments(spark, sf_dir):
+    rows = [(vendor.instrument(k.upper().replace("_", "-")), x[0], len(vendor.supported(k))) for k, x in vendor.INSTRUMENTS.items()]
+    return spark.createDataFrame(rows, "symbol string, kind string, n_intervals bigint")
+
+
+@query("truth_validation", f"WITH {BARS}, n AS (SELECT series_id, count(*) AS n FROM bars GROUP BY 1), tr AS (SELECT series_id, t - 3 AS t FROM bars WHERE t % 11 < 2 UNION ALL SELECT series_id, t FROM bars WHERE t % 40 = 8), c AS (SELECT series_id, t, count(*) AS times FROM tr GROUP BY 1, 2) SELECT c.series_id, t, times, n FROM c LEFT JOIN n USING (series_id) WHERE n IS NULL OR t < 1 OR t > n OR times > 1")
+def truth_validation(spark, sf_dir):
+    bars = eval_bars(spark, sf_dir)
+    truth = bars.where("t % 11 < 2").select(SERIES, (F.col("t") - 3).alias("t")).unionByName(bars.where("t % 40 = 8").select(SERIES, "t"))
+    return clean.invalid_truth(truth, bars.groupBy(SERIES).agg(F.count("*").alias("n"))).select(SERIES, "t", "times", "n")
+
+
+@query("event_validation", "SELECT event_id::VARCHAR AS id, event_type, ts AS \"start\", ts + to_days(CAST(user_id % 3 - 1 AS INTEGER)) AS \"end\" FROM events WHERE user_id % 3 = 0")
+def event_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_type", F.col("ts").cast("timestamp_ntz").alias("start"), F.expr("cast(ts as timestamp_ntz) + make_dt_interval(cast(user_id % 3 - 1 as int))").alias("end"))
+    return clean.invalid_events(rows)
+
+
+@query("sim_real_gap", f"WITH {OBS}, r AS (SELECT series_id, avg(y) AS m, var_pop(y) AS v FROM obs WHERE t % 2 = 0 GROUP BY 1), s AS (SELECT series_id, avg(y) AS m, var_pop(y) AS v FROM obs WHERE t % 2 = 1 GROUP BY 1) SELECT r.series_id, 'mean' AS metric, {R('s.m')} AS sim, {R('r.m')} AS real, {R('r.m - s.m')} AS gap FROM r JOIN s USING (series_id) UNION ALL SELECT r.series_id, 'variance', {R('s.v')}, {R('r.v')}, {R('r.v - s.v')} FROM r JOIN s USING (series_id)")
+def sim_real_gap(spark, sf_dir):
+    rows = obs(spark, sf_dir)
+    real, sim = (features.summary(rows.where(F.col("t") % 2 == i)) for i in (0, 1))
+    return neat(evaluate.sim_real_gap(sim, real, ["mean", "variance"]))
+
+
+@query("comparison_table", f"WITH {OBS} SELECT series_id, 'even' AS run, count(*)::BIGINT AS n, {R('avg(y)')} AS mean, NULL::DOUBLE AS max FROM obs WHERE t % 2 = 0 GROUP BY 1 UNION ALL SELECT series_id, 'odd', count(*)::BIGINT, NULL, {R('max(y)')} FROM obs WHERE t % 2 = 1 GROUP BY 1")
+def comparison_table(spark, sf_dir):
+    rows = obs(spark, sf_dir)
+    even = features.summary(rows.where("t % 2 = 0")).select(SERIES, F.lit("even").alias("run"), "n", "mean")
+    odd = features.summary(rows.where("t % 2 = 1")).select(SERIES, F.lit("odd").alias("run"), "n", "max")
+    return neat(evaluate.comparison_table([even, odd]))
+
+
+@query("scenarios", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {j}::BIGINT, {p.means[j]!r}::DOUBLE, {p.variances[j]!r}::DOUBLE, {p.transition[j][j]!r}::DOUBLE)" for n, p in hmm.SCENARIOS.items() for j in range(p.k)).replace("np.float64(", "").replace(")::DOUBLE", "::DOUBLE") + ") AS t(scenario, regime, mean, variance, stay)")
+def scenarios(spark, sf_dir):
+    rows = [(n, j, float(p.means[j]), float(p.variances[j]), float(p.transition[j][j])) for n, p in hmm.SCENARIOS.items() for j in range(p.k)]
+    return spark.createDataFrame(rows, "scenario string, regime bigint, mean double, variance double, stay double")
+
+
+@query("model_grid", "SELECT k::BIGINT AS k, f AS family, w::BIGINT AS \"window\" FROM (SELECT unnest([2, 3]) AS k), (SELECT unnest(['log_return', 'abs_return', 'squared_return', 'rolling_vol', 'rolling_vol']) AS f, unnest([5, 5, 5, 5, 20]) AS w)")
+def model_grid(spark, sf_dir):
+    return spark.createDataFrame([(k, f.family, f.window) for k, f in search.model_grid()], "k bigint, family string, window bigint")
+
+
+@query("registered_experiments")
+def registered_experiments(spark, sf_dir):
+    from .plans.registry import registry
+
+    rows = [(e.label, e.mode, e.detector.kind, float(e.detector.threshold), e.detector.required, e.detector.cooldown, e.run_id()) for e in registry().values()]
+    return spark.createDataFrame(rows, "label string, mode string, detector string, threshold double, required bigint, cooldown bigint, run_id string")
+
+
+@query("online_stream", f"{ALARMS} SELECT f.series_id, f.t, f.ts, {R('f0')} AS p0, {R('f1')} AS p1, {R('log_c')} AS log_c, score, ready, alarm FROM flt f JOIN scored s ON s.series_id = f.series_id AND s.t = f.t JOIN per p ON p.series_id = f.series_id AND p.t = f.t")
+def online_stream(spark, sf_dir):
+    """The flagship's steps by Structured Streaming, in several micro-batches."""
+    from .streaming.online import replay
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidegate-")
+    rows = replay(obs(spark, sf_dir), MODEL, DET, f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}", 3)
+    return neat(rows.select(SERIES, "t", "ts", *two("filtered", "p"), "log_c", "score", "ready", "alarm"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of the frozen model over the intraday series: probabilities, density, score and alarm."""
     rows = model_rows(spark, sf_dir)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import kernels as K
@@ -101,3 +102,31 @@ def online(stream: DataFrame, p: K.Params, d: K.Detector, reset_on_session: bool
 
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def replay(rows: DataFrame, p: K.Params, d: K.Detector, folder: str, parts: int = 1) -> DataFrame:
+    """Rows (series_id, ts, y) through the stream to the end, and what it wrote: they are saved in `folder` as the stream's
+    source, in the order of time if there are several parts, and read with the trigger availableNow."""
+    spark = rows.sparkSession
+    numbered = rows.select(SERIES, "ts", "y")
+    if parts > 1:
+        cuts = [c for c in numbered.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)]
+        x = F.unix_micros(F.col("ts").cast("timestamp"))
+        numbered = numbered.withColumn("part", sum(((x > c).cast("int") for c in cuts), F.lit(0)))
+        for i in range(parts):
+            numbered.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    else:
+        numbered.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    key, value = STATE_STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        source = spark.readStream.schema(f"{SERIES} string, ts timestamp_ntz, y double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        query = online(source, p, d).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+    return spark.read.schema(OUT).parquet(f"{folder}/out")
