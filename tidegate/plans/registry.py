@@ -24,6 +24,8 @@ def _transfer(label: str, asset: str, k: int, family: str) -> Experiment:
 
 
 def registry() -> dict[str, Experiment]:
+    """All by label."""
+    # Labels and settings of the experiments.
     daily, days = {"start": "2018-01-01"}, Evaluation(pre=5, post=10, min_segment=10)
     all_ = [
         _synthetic("hard_switch", Detector("hard_switch", 0.5, 2, 5)),
