@@ -11,19 +11,22 @@ tree is a forest whose trunks no link can cross:
 1. Equal sets fold into one representative, the smallest id (a partial aggregate, so hot copies cost
    nothing).
 2. A set of size a and a partner of size b in a..a/t differ in at most r shingles. Split by hash into
-   more than r groups, two linked sets agree wholly on at least one group. So each representative is
+   more than r groups, two linked sets agree wholly on at least one group. So each document is
    routed by the hashes of its groups' contents (with as many groups as its size class asks for), and
    sets that share a route fall into one *cell*: a connected component of the routes. No link leaves
-   a cell; each document is in one cell only, so its text moves once.
+   a cell; each representative is in one cell only, so its text moves once. Routes travel as packed
+   arrays of ten bytes each, and a task sends one row for a route however many of its documents have it.
 3. In each cell an R-tree over count vectors gives the pairs that may be linked; only pairs that
    aren't yet connected are verified, so a group of m copies costs about m verifications.
 4. A cell beyond the bounds is dealt into blocks. Each block also gets the cell's pivots, which
    connects groups of near copies across blocks; only where a cell still falls into several
    components, pairs of blocks are compared too. Nothing is capped.
 
-Groups that hold few shingles (empty ones above all) would route unrelated texts together. With w
-groups more than r+1, at least w+1 groups agree; a document with at most w such weak groups has a
-strong group among them with every partner, so it isn't routed by weak ones; others use all.
+Groups that hold few shingles (empty ones above all), or only such as many documents have (of a passage that
+is everywhere), would route unrelated texts together. With w groups more than r+1, at least w+1
+groups agree; a document with at most w such weak groups has a strong group among them with every
+partner, so it isn't routed by weak ones; others use all. Which shingles are common is read off a
+bounded sample of the documents. It only decides which keys are used, for all documents alike, and never loses a link.
 """
 
 from __future__ import annotations
@@ -35,14 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
 from ._base import Scratch, need, quoted, schema
 from ._components import connected_components
 
-CLASS_RATIO = 1.5
+#: Ratio of a size class's greatest to its least size; deviations by which weak groups should stay below the slack.
+CLASS_RATIO, SPARE = 1.5, 4.0
 
 
 def linked(inter: int, a: int, b: int, per_cent: int) -> bool:
@@ -68,16 +72,20 @@ def size_class(c: int, per_cent: int) -> tuple[int, int, int, int, int]:
     if r == 0:
         return lo, hi, 0, 0, 1
 
-    def fallback(w: int, s: int) -> float:
-        """About the share of documents with more than w weak groups."""
+    def spare(w: int, s: int) -> float:
+        """Standard deviations between the weak groups of the class's smallest sets and w."""
         h = r + 1 + w
-        lam = (lo + hi) / 2 / h
+        lam = lo / h
         p = sum(math.exp(-lam) * lam**i / math.factorial(i) for i in range(s))
-        mean, var = h * p, max(h * p * (1 - p), 1e-9)
-        return 0.5 * math.erfc((w + 0.5 - mean) / math.sqrt(2 * var))
-
-    s = 2 if lo / (r + 1) >= 5 else 1
-    w = min(range(max(2, r // 4) + 1), key=lambda x: fallback(x, s) + 0.0005 * x)
+        return (w + 0.5 - h * p) / math.sqrt(max(h * p * (1 - p), 1e-9))
+
+    # Two shingles to a strong group if sets of the class then hardly ever have more than w weak ones, else one.
+    for s in (2, 1):
+        for w in range(2 * r + 3):
+            if spare(w, s) >= SPARE:
+                return lo, hi, r + 1 + w, w, s
+    w = max(range(2 * r + 3), key=lambda x: spare(x, 1))
+    s = 1
     return lo, hi, r + 1 + w, w, s
 
 
@@ -90,9 +98,13 @@ def classes_of(n: int, per_cent: int) -> list[int]:
     return [c for c in range(max(0, top - 4), top + 1) if size_class(c, per_cent)[0] <= n and size_class(c, per_cent)[1] >= least]
 
 
-def routes(u: np.ndarray, per_cent: int) -> np.ndarray:
-    """Routing keys of a sorted set of hashes."""
+def routes(u: np.ndarray, per_cent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Routing keys of a sorted set of hashes. common: hashes that don't make a group strong, the same for all documents."""
     out = []
+    rare = np.arange(len(u) + 1)
+    if common is not None and len(common) and len(u):
+        known = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
+        rare = np.concatenate(([0], np.cumsum(~known)))
     mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_vec.mix(u), dtype=np.uint64)))
     high = u >> np.uint64(32)
     for c in classes_of(len(u), per_cent):
@@ -102,7 +114,7 @@ def routes(u: np.ndarray, per_cent: int) -> np.ndarray:
         at = np.searchsorted(high * np.uint64(groups) >> np.uint64(32), np.arange(groups + 1, dtype=np.uint64))
         counts = np.diff(at)
         keys = _vec.mix((mixed[at[1:]] - mixed[at[:-1]]) * np.uint64(0xA0761D6478BD642F) + np.arange(groups, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB) + counts.astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64(c * 2 + 1))
-        weak = counts < strong
+        weak = np.diff(rare[at]) < strong
         out.append(keys[~weak] if weak.sum() <= w else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -197,21 +209,134 @@ def join_cell(ids: list[int], sets: list[np.ndarray], per_cent: int, known: list
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, per_cent: int) -> DataFrame:
-    """Per document: its id, the number and a 128-bit digest of its shingles, and its routes."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Per document: its id, the number and a 128-bit digest of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, keys = [], [], []
+            n, digest = [], []
             for u in _vec.shingle_sets(batch.column(1), k):
                 n.append(len(u))
                 digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                keys.append(routes(u, per_cent).view(np.int64))
-            lengths = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "routes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
+
+    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).mapInArrow(run, schema(id="long", n="long", digest="binary"))
+
+
+#: Routes that a task holds before it sends them on, and bits of a route that are sent. Two routes that fall together only make a cell larger.
+HELD, SENT_BITS = 4_000_000, 48
+
+
+def _pack_routes(k: int, per_cent: int, buckets: int, common: np.ndarray | None):
+    """Documents to rows (bucket, low, width, payload, links): the distinct routes of a bucket with one document for each, and links between
+    documents of this task that share one."""
+
+    def rows_of(routes_: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        order = np.lexsort((ids, routes_))  # the smallest id of a route stands for it
+        r, d = routes_[order], ids[order]
+        first = np.ones(len(r), bool)
+        first[1:] = r[1:] != r[:-1]
+        rep = d[first][np.cumsum(first) - 1]
+        same = ~first & (rep != d)
+        links = np.unique(np.stack((d[same], rep[same]), 1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
+        r, d = r[first], d[first]
+        cut = np.searchsorted((r >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1, dtype=np.uint64))
+        of_link = np.searchsorted(np.sort(links[:, 0] % buckets), np.arange(buckets + 1))
+        links = links[np.argsort(links[:, 0] % buckets, kind="stable")]
+        for b in range(buckets):
+            part, own, more = r[cut[b] : cut[b + 1]], d[cut[b] : cut[b + 1]], links[of_link[b] : of_link[b + 1]]
+            if not len(part) and not len(more):
+                continue
+            low = int(own.min()) if len(own) else 0
+            width = 4 if len(own) and int(own.max()) - low < 1 << 32 else 8
+            short = np.ascontiguousarray(part.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8]
+            yield b, low, width, short.tobytes() + (own - low).astype(f"<u{width}").tobytes(), more.astype("<i8").tobytes()
+
+    names = ["bucket", "low", "width", "payload", "links"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size = [], [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            rows = list(rows_of(np.concatenate(held), np.concatenate(ids))) if held else []
+            for a in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), kinds)], names)
+
+        for batch in batches:
+            for doc_id, u in zip(batch.column(0).to_pylist(), _vec.shingle_sets(batch.column(1), k)):
+                got = routes(u, per_cent, common)
+                if len(got):
+                    held.append(got)
+                    ids.append(np.full(len(got), doc_id, np.int64))
+                    size += len(got)
+                if size >= HELD:
+                    yield from send()
+                    held, ids, size = [], [], 0
+        yield from send()
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by bucket to links (a, b) that connect all documents that share a route; holds one bucket."""
+    now, routes_, ids, links = None, [], [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if now is None:
+            return
+        r, d = np.concatenate(routes_), np.concatenate(ids)
+        order = np.lexsort((d, r))
+        r, d = r[order], d[order]
+        first = np.ones(len(r), bool)
+        first[1:] = r[1:] != r[:-1]
+        rep = d[first][np.cumsum(first) - 1] if len(r) else d
+        same = ~first & (rep != d)
+        pairs = np.concatenate([np.stack((d[same], rep[same]), 1), *links])
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    size = SENT_BITS // 8
+    for batch in batches:
+        for bucket, low, width, payload, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if bucket != now:
+                yield from done()
+                now, routes_, ids, links = bucket, [], [], []
+            n = len(payload) // (size + width)
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :size] = np.frombuffer(payload, np.uint8, n * size).reshape(n, size)
+            routes_.append(wide.view("<u8").ravel())
+            ids.append(np.frombuffer(payload, f"<u{width}", n, n * size).astype(np.int64) + low)
+            links.append(np.frombuffer(more, "<i8").reshape(-1, 2))
+    yield from done()
+
+
+#: Documents of the sample that tells common shingles, and how many of them must have one.
+SAMPLE_DOCS, COMMON_FROM = 4096, 3
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int, folded: DataFrame) -> np.ndarray:
+    """Sorted hashes that are in several documents of a sample of SAMPLE_DOCS different sets, those with the smallest hashes of their digests.
+
+    The result is bounded by the sample; texts of more than 20,000 shingles aren't sampled."""
+    some = folded.where("n <= 20000").select(F.col("rep").alias("id"), F.xxhash64("digest").alias("h")).orderBy("h", "id").limit(SAMPLE_DOCS).select("id")
+    texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).join(F.broadcast(some), "id", "left_semi")
 
-    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).mapInArrow(run, schema(id="long", n="long", digest="binary", routes="longs"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u in _vec.shingle_sets(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], ["s"])
+
+    counts = texts.mapInArrow(run, schema(s="long")).groupBy("s").count().where(F.col("count") >= COMMON_FROM)
+    return np.sort(counts.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def meetings(docs: DataFrame, id_col: str, text_col: str, k: int, per_cent: int, shingles_: int, common: np.ndarray | None = None) -> DataFrame:
+    """Links (a, b) whose components are the cells. A bucket has about HELD routes, of about half as many as there are shingles."""
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shingles_ // (2 * HELD) + 1, 1 << 20))
+    packed = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
+    packed = packed.mapInArrow(_pack_routes(k, per_cent, buckets, common), schema(bucket="int", low="long", width="int", payload="binary", links="binary"))
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, schema(a="long", b="long"))
 
 
 def _stream_cells(k: int, per_cent: int):
@@ -241,13 +366,31 @@ def _stream_cells(k: int, per_cent: int):
     return run
 
 
+#: Bits of the filter that keeps texts which aren't wanted from being shuffled; its size is fixed, beyond it more of them pass.
+FILTER_BITS = 1 << 25
+
+
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (id, ...) with the texts of their ids. A bitmap of hashed ids, of a fixed size, is broadcast and drops other texts before the shuffle."""
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit(7)), F.lit(FILTER_BITS)) + 1
+
+    bits = rows.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    bit = F.bitmap_bit_position("p")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    wanted = F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2 == 1
+    some = texts.withColumn("p", place("id")).withColumn("bucket", F.bitmap_bucket_number("p")).join(F.broadcast(bits), "bucket").where(wanted).select("id", "text")
+    return rows.join(some, "id")
+
+
 def _join_blocks(rows: DataFrame, k: int, per_cent: int) -> DataFrame:
     """rows: cell, block, id, comp, side, text."""
     dealt = rows.select("cell", "block", "id", "comp", "side", "text").repartition("cell", "block").sortWithinPartitions("cell", "block", "id")
     return dealt.mapInArrow(_stream_cells(k, per_cent), schema(a="long", b="long"))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, block_rows: int = 2048, block_shingles: int = 4_000_000, pivots: int = 16) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, block_rows: int = 512, block_shingles: int = 2_000_000, pivots: int = 16) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs; linked: 100 * intersection >= per_cent * union.
 
     component_id is the smallest id that links reach, the document's own included. A text of fewer
@@ -261,20 +404,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need(docs, (id_col, text_col), "ngram_jaccard_join")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    signs = scratch.table(sketch(docs, id_col, text_col, k, per_cent), "signs")
+    signs = scratch.table(sketch(docs, id_col, text_col, k), "signs")
 
     folded = scratch.table(signs.where("n > 0 AND id IS NOT NULL").groupBy("digest", "n").agg(F.min("id").alias("rep")), "folded")
+    total = folded.agg(F.sum("n")).first()[0] or 0
+    common = common_shingles(docs, id_col, text_col, k, folded)
+    met = connected_components(meetings(docs, id_col, text_col, k, per_cent, int(total), common), scratch, "cells")
     # An id that stands in several rows can represent several sets; it is one node.
-    keys = signs.where("n > 0").join(folded.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", F.explode("routes").alias("route"))
-    shared = keys.groupBy("route").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("route", "low")
-    routed = keys.join(shared, "route").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    cells = scratch.table(connected_components(routed, scratch, "cells").select(F.col("node").alias("id"), F.col("component").alias("cell")), "cells")
+    reps = folded.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    cells = scratch.table(met.select(F.col("node").alias("id"), F.col("component").alias("cell")).join(reps, "id"), "cells")
 
-    sizes = cells.join(signs.where("n > 0").groupBy("id").agg(F.max("n").alias("n")), "id")
-    stats = sizes.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    stats = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).where("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("weight") / block_shingles), F.lit(1)).cast("long")
     many = F.when(F.col("rows") > block_rows, blocks).when(F.col("weight") > block_shingles, blocks).otherwise(F.lit(1))
-    plan = scratch.table(cells.join(stats.select("cell", many.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "plan")
+    plan = scratch.table(cells.select("id", "cell").join(stats.select("cell", many.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "plan")
 
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
     none = F.lit(None).cast("long")
@@ -285,7 +428,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # The pivots of a giant cell: its smallest hashes of ids, found by partial aggregates of bounded lists.
         low = plan.where("blocks > 1").groupBy("cell", "blocks", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(pivots)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(2)), "id")).alias("p"))
         own = own.unionByName(low.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("p.id").alias("id"), none.alias("comp"), none.alias("side"))).distinct()
-    links = scratch.table(_join_blocks(own.join(texts, "id"), k, per_cent), "links")
+    links = scratch.table(_join_blocks(with_texts(own, texts), k, per_cent), "links")
     if giant:
         links = _across_blocks(links, plan, texts, scratch, k, per_cent)
 
@@ -322,5 +465,5 @@ def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch:
     sides = pairs.select("cell", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).cast("long").alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).cast("long").alias("side")))).alias("s"), (F.col("i") * F.col("blocks") + F.col("j")).alias("pair"))
     tasks = sides.select("cell", "pair", F.col("s.block").alias("block"), F.col("s.side").alias("side"))
     dealt = rows.join(tasks, ["cell", "block"]).select("cell", F.col("pair").alias("block"), "id", "comp", "side")
-    more = scratch.table(_join_blocks(dealt.join(texts, "id"), k, per_cent), "across")
+    more = scratch.table(_join_blocks(with_texts(dealt, texts), k, per_cent), "across")
     return links.unionByName(more)
