@@ -157,32 +157,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = {r["source"]: (int(r["size"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({s: x[0] for s, x in sums.items()}, weights, share, cap)
     order = sorted(sums, key=lambda s: (s is None, s or ""))
-    plan, kept = [], {}
+    plan = []
     for number, s in enumerate(order):
         ratio = goal[s] / sums[s][0] if sums[s][0] else 0.0
         base = min(math.floor(ratio + EPS), math.ceil(cap))
-        kept[number] = sums[s][1]
-        plan.append((s, number, sums[s][0], float(goal[s]), base, min(1.0, max(0.0, ratio - base))))
-    fields = T.StructType([T.StructField("s", T.StringType()), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("base", T.IntegerType()), T.StructField("prob", T.DoubleType())])
+        plan.append((s, number, sums[s][0], float(goal[s]), base, min(1.0, max(0.0, ratio - base)), max(1, -(-sums[s][1] // CHUNK))))
+    fields = T.StructType([T.StructField("s", T.StringType()), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("base", T.IntegerType()), T.StructField("prob", T.DoubleType()), T.StructField("chunks", T.LongType())])
     plan_df = spark.createDataFrame(plan, fields)
-    rows = sized.join(plan_df.select("s", "number", "prob"), F.col("source").eqNullSafe(F.col("s"))).select("id", "size", "number", "prob")
-    settled, level = [], 0
+    rows = sized.join(plan_df.select("s", "number", "prob", "chunks"), F.col("source").eqNullSafe(F.col("s"))).select("id", "size", "number", "prob", "chunks")
+    last, settled, level = all(p[-1] == 1 for p in plan), [], 0
     while True:
-        chunks = {n: max(1, -(-c // CHUNK)) for n, c in kept.items()}
-        last = all(c == 1 for c in chunks.values())
-        of = F.element_at(F.create_map(*[F.lit(x) for n, c in chunks.items() for x in (n, c)]), F.col("number")) if chunks else F.lit(1)
         h = F.xxhash64("id", F.lit(seed + level))
-        dealt = rows.withColumn("chunk", F.pmod(h, of).cast("long")).repartition("number", "chunk").sortWithinPartitions("number", "chunk", F.desc("size"), h, "id")
+        dealt = rows.withColumn("chunk", F.pmod(h, F.col("chunks"))).repartition("number", "chunk").sortWithinPartitions("number", "chunk", F.desc("size"), h, "id")
         flown = scratch.table(dealt.select(*FLYING.names).mapInArrow(_fly(seed, level, last), FLYING), f"level-{level}")
         settled.append(flown.where("prob = 0 OR prob = 1"))
         if last:
             break
-        rows = flown.where("prob > 0 AND prob < 1").select("id", "size", "number", "prob")
-        kept = {r["number"]: r["n"] for r in rows.groupBy("number").agg(F.count("*").alias("n")).collect()}
-        level += 1
+        rest = flown.where("prob > 0 AND prob < 1").select("id", "size", "number", "prob")
+        left = rest.groupBy("number").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+        last = left.where("chunks > 1").limit(1).count() == 0
+        rows, level = rest.join(left, "number"), level + 1
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    out = out.select("id", "size", "number", "prob").join(plan_df.drop("prob"), "number")
+    out = out.select("id", "size", "number", "prob").join(plan_df.drop("prob", "chunks"), "number")
     copies = (F.col("base") + F.col("prob")).cast("int")
     return out.select(F.col("id").alias(id_col), F.col("s").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
