@@ -23,7 +23,7 @@ from . import _vec
 from ._base import need, quoted, schema, without
 
 UNDETERMINED = "und"
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)

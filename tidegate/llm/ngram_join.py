@@ -224,7 +224,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 #: Routes that a task holds before it sends them on, and bits of a route that are sent. Two routes that fall together only make a cell larger.
-HELD, SENT_BITS = 4_000_000, 48
+HELD, SENT_BITS = 1_000_000, 48
+#: A bucket gives one link at least for each of its documents that meets another; as many buckets for small inputs keep their number in proportion.
+LEAST_BUCKETS = 128
 
 
 def _pack_routes(k: int, per_cent: int, buckets: int, common: np.ndarray | None):
@@ -274,6 +276,8 @@ def _pack_routes(k: int, per_cent: int, buckets: int, common: np.ndarray | None)
                     yield from send()
                     held, ids, size = [], [], 0
         yield from send()
+        held, ids = [], []
+        _vec.trim()
 
     return run
 
@@ -309,6 +313,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(np.frombuffer(payload, f"<u{width}", n, n * size).astype(np.int64) + low)
             links.append(np.frombuffer(more, "<i8").reshape(-1, 2))
     yield from done()
+    routes_, ids, links = [], [], []
+    _vec.trim()
 
 
 #: Documents of the sample that tells common shingles, and how many of them must have one.
@@ -332,11 +338,13 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int, folded:
 
 
 def meetings(docs: DataFrame, id_col: str, text_col: str, k: int, per_cent: int, shingles_: int, common: np.ndarray | None = None) -> DataFrame:
-    """Links (a, b) whose components are the cells. A bucket has about HELD routes, of about half as many as there are shingles."""
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shingles_ // (2 * HELD) + 1, 1 << 20))
+    """Links (a, b) whose components are the cells. A bucket has about HELD routes at most, of about half as many as there are shingles;
+    tasks take one or several."""
+    buckets = max(LEAST_BUCKETS, min(shingles_ // (2 * HELD) + 1, 1 << 20))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets if buckets > LEAST_BUCKETS else 1)
     packed = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
     packed = packed.mapInArrow(_pack_routes(k, per_cent, buckets, common), schema(bucket="int", low="long", width="int", payload="binary", links="binary"))
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, schema(a="long", b="long"))
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, schema(a="long", b="long"))
 
 
 def _stream_cells(k: int, per_cent: int):
