@@ -26,3 +26,8 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == QUERIES["flagship"](spark, SF).columns
+
+
+def test_registered_fits_converge(spark):
+    rows = QUERIES["em_fit"](spark, SF).collect()
+    assert len(rows) == 5 and all(r["converged"] for r in rows) and max(r["n_iter"] for r in rows) > 100

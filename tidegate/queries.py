@@ -461,7 +461,7 @@ def em_one_step(spark, sf_dir):
 
 
 def fits(spark: SparkSession, sf_dir: str, n_starts: int = 1, jitter: float = 0.0) -> DataFrame:
-    return hmm.fit_em(obs(spark, sf_dir), 2, 1e-6, 100, n_starts, jitter)
+    return hmm.fit_em(obs(spark, sf_dir), 2, n_starts=n_starts, jitter=jitter)
 
 
 @query("em_fit")
