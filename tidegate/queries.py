@@ -808,7 +808,7 @@ def detector_grid(spark, sf_dir):
 def search_models(spark, sf_dir):
     prices = daily(spark, sf_dir)
     bars = numbered_bars(prices)
-    return neat(search.top(search.search_models(prices, bars.where("t % 37 = 5").select(SERIES, "t"), search.model_grid()[:2], "surprise", search.Grid((1.0, 2.0), (1,), (0, 5)), max_iter=30)).drop("alarms"))
+    return neat(search.top(search.search_models(prices, bars.where("t % 37 = 5").select(SERIES, "t"), search.model_grid(), "surprise", search.REAL_GRIDS["surprise"])).drop("alarms"))
 
 
 # --- further sources, checks and tables ----------------------------------------------------------
