@@ -366,3 +366,32 @@ def test_pipeline(spark):
         before = set(ids)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert sum(r["piece_length"] for r in packed) == sum(len(WORD.findall(rows[r["doc_id"]]["text"])) for r in kept.collect())
+
+
+def odd_documents(spark, rows, path):
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    if path is None:
+        return df
+    df.repartition(3).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_pipeline_tells_rows_apart_without_ids(spark, tmp_path, stored):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    good = [" ".join(rng.sample(words, 120)) for _ in range(8)]
+    found = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    of = lambda name, rows: odd_documents(spark, rows, tmp_path / name if stored else None)
+    clean = [(None, good[0], "a"), (None, good[1], "a"), (5, good[2], "a"), (5, good[2], "a"), (5, good[3], "a"), (6, good[4], "a")]
+    judged = corpus_pipeline._judge(spark, of("judge", [*clean, (None, "too short", "a"), (5, "too short", "a")]), SF)
+    assert found(judged) == sorted(((i, t) for i, t, _ in clean), key=repr)
+
+    near = good[0] + " more"
+    rows = [(7, good[0], "a"), (7, good[0], "a"), (8, near, "a"), (None, near, "a"), (None, good[1], "a"), (None, good[1], "a"), (None, good[2], "a"), (9, good[3], "a"), (9, good[4], "a")]
+    once = corpus_pipeline._deduplicate(spark, of("copies", rows), SF)
+    assert found(once) == sorted([(7, good[0]), (None, good[1]), (None, good[2]), (9, good[3]), (9, good[4])], key=repr)
+
+    rows = [(None, good[0], "a"), (None, good[1], "a"), (7, good[2], "a"), (7, good[3], "a"), (7, good[4], "a"), (8, good[5], "a")]
+    mixed = found(corpus_pipeline._mix(spark, of("mix", rows), SF))
+    assert len(mixed) == 9 and all(mixed.count((i, t)) in (1, 2) for i, t, _ in rows)
