@@ -333,6 +333,17 @@ def test_license_scan(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_licenses_are_told_from_their_siblings(spark):
+    text = {n: [t for m, t in licenses.TEMPLATES if m == n] for n, _ in licenses.TEMPLATES}
+    two, three = text["BSD-2-Clause"][0], max(text["BSD-3-Clause"], key=len)
+    cases = [("BSD-2-Clause", two), ("BSD-2-Clause", two + " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"), ("BSD-3-Clause", three), ("BSD-3-Clause", three.replace("the copyright holder nor", "Example Corporation nor"))]
+    cases += [("BSD-2-Clause", "Licensed under the BSD 2-Clause License."), ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.")]
+    cases += [(f"{n}-{v}", f"This work is licensed under the GNU {words} Public License, version {v.removesuffix('.0')}.") for n, words, v in (("LGPL", "Lesser General", "3.0"), ("LGPL", "Lesser General", "2.1"), ("GPL", "General", "3.0"), ("GPL", "General", "2.0"), ("AGPL", "Affero General", "3.0"))]
+    cases += [(n, t) for n in text if n.startswith("CC-BY") for t in text[n]]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, [(i, t, "a") for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [[n] for n, _ in cases]
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language ID", "quality rules", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"]
