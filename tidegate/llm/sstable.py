@@ -16,6 +16,7 @@ keys; a footer of fixed size points to both. A lookup reads footer, filter, inde
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -177,6 +178,9 @@ class ShardReader:
         return out
 
 
+#: Bytes that white space can have; an added token without them never arises where parts are put together.
+_PARTING = re.compile(rb"[\x00-\x20\x7f\x80-\xff]")
+
 #: Classes of bytes. SOLID ones can't begin or be white space of any kind; bytes that may begin a white space character beyond ASCII count as neither.
 _ASCII = np.zeros(256, bool)
 _ASCII[0x21:0x7F] = True
@@ -212,7 +216,9 @@ class Encoder:
 
     Pieces are found and hashed (64 bits) for a batch at a time in numpy, and their ids gathered from a pool; only unseen pieces go
     to the library, many in one string, parted so that they stay pieces. The pool holds a bounded number of pieces and
-    starts anew beyond. Tokenizers that aren't byte-level with the usual pattern get the whole texts."""
+    starts anew beyond. Two pieces of a pool with one hash would get the ids of the one seen first; with at most a million pieces in a
+    pool an unseen one has a chance of 5e-14 of that. A text that holds the string of an added token goes to the library whole, and so do all
+    texts for tokenizers that aren't byte-level with the usual pattern or have added tokens with white space in them."""
 
     MOST, SLOTS = 1_000_000, 1 << 21
 
@@ -224,12 +230,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 if wide is None else wide
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
+        self.by_parts = not any(_PARTING.search(t) for t in self.added) and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.reset()
 
     def reset(self) -> None:
@@ -299,13 +305,40 @@ class Encoder:
         self._insert(h, np.arange(self.n, self.n + n))
         self.n, self.filled = self.n + n, self.filled + total
 
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text holds the string of an added token."""
+        out = np.zeros(len(offsets) - 1, bool)
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[row + 1]
+                out[row] |= inside
+                at = raw.find(token, int(offsets[row + 1]) if inside else at + 1)
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start, with the total at the end) of UTF-8 texts."""
+        texts, raw = len(offsets) - 1, data.tobytes()
+        alone = self._with_added(raw, offsets) if self.by_parts else np.ones(texts, bool)
+        if not alone.any():
+            return self._encode_parts(data, offsets, raw)
+        ids, counts = [], []
+        for run in np.split(np.arange(texts), np.flatnonzero(np.diff(alone)) + 1):  # runs of texts of one kind
+            a, b = int(run[0]), int(run[-1]) + 1
+            if alone[a]:
+                got = self.whole([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in range(a, b)])
+                ids.append(np.array([x for g in got for x in g], self.dtype))
+                counts += [len(g) for g in got]
+            else:
+                some, at = self._encode_parts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])
+                ids.append(some)
+                counts += np.diff(at).tolist()
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+    def _encode_parts(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for texts without added tokens."""
         texts = len(offsets) - 1
-        if not self.by_parts:
-            raw = data.tobytes()
-            got = self.whole([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in range(texts)])
-            return np.array([x for g in got for x in g], self.dtype), np.concatenate(([0], np.cumsum([len(g) for g in got], dtype=np.int64)))
         starts = pieces(data, offsets[: texts + 1]) if len(data) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         h = np.maximum(_vec.hashes(data, starts, ends, _vec.VALUES), np.uint64(1))
@@ -316,7 +349,6 @@ class Encoder:
                 entry[:] = -1
             new, first = np.unique(h[entry < 0], return_index=True)
             at = np.flatnonzero(entry < 0)[first]
-            raw = data.tobytes()
             self._learn(new, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             entry = self._find(h)
         counts = self.counts[entry].astype(np.int64)
