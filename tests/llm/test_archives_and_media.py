@@ -79,14 +79,22 @@ def test_pages_through_the_archive(spark):
     assert {r["record_type"] for r in warc.archive(pages_of(spark, rows), min_bytes=10**7).collect()} == {"response"}
 
 
+def test_pages_with_repeated_ids_and_urls_of_version_blocks(spark):
+    def types(rows):
+        return sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive(pages_of(spark, [(i, u, h) for i, u, h in rows])).collect())
+
+    assert types([(1, "filedesc://x.arc", "one"), (2, "http://a/", "two!")]) == [(1, 3, "response", None), (2, 4, "response", None)]
+    assert types([(5, "u", "A"), (7, "u", "BB"), (5, "u", "BB")]) == [(5, 1, "response", None), (5, 2, "revisit", 7), (7, 2, "response", None)]
+    assert types([(5, "u", "A"), (5, "u", "BB"), (9, "u", "A"), (8, "u", "BB")]) == [(5, 1, "revisit", 9), (5, 2, "revisit", 8), (8, 2, "response", None), (9, 1, "response", None)]
+
+
 # --- shards --------------------------------------------------------------------
 
 
 def test_encoder_equals_the_library():
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(1)
-    alphabet = ["a", "é", " ", "  ", "\n", "\t", "'", "s", "1", ".", "\xa0", "　", "漢", "\x1c", "B", " x", "\n\n", "\r\n", ",", " .", "¿", "\x00", "\x85"]
+    alphabet = ["<|endoftext|>", "<|endoftext|", "|>", "a", "é", " ", "  ", "\n", "\t", "'", "s", "1", ".", "\xa0", "　", "漢", "\x1c", "B", " x", "\n\n", "\r\n", ",", " .", "¿", "\x00", "\x85"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     for most in (10**6, 50):
@@ -103,6 +111,15 @@ def test_encoder_equals_the_library():
     assert (ids.tolist(), at.tolist()) == (want[texts.index("a")] + tokenizer.encode(" b").ids, [0, 0, 2])
 
 
+def test_added_tokens_are_one_id_inside_a_text_only():
+    encoder = sstable.Encoder(TOKENIZER)
+    raw = [b"a<|endoftext|>b", b"a<|endof", b"text|>b", b"", b"<|endoftext|><|endoftext|>", b"plain words"]
+    ids, at = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    got = [ids[at[i] : at[i + 1]].tolist() for i in range(len(raw))]
+    assert got == [Tokenizer.from_file(TOKENIZER).encode(r.decode(), add_special_tokens=False).ids for r in raw]
+    assert got[0] == [64, 50256, 65] and got[4] == [50256, 50256] and 50256 not in got[1] + got[2]
+
+
 def test_tables_round_trip_and_lookup(monkeypatch):
     class Stream(io.BytesIO):
         def close(self):
@@ -135,7 +152,6 @@ def test_shards_of_documents(spark, monkeypatch):
     got = sorted(sstable.read_shards(manifest, root).collect(), key=lambda r: r["start"])
     assert [r["id"] for r in got] == sorted((i for i, _ in rows), key=lambda k: (k is not None, k or 0))
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     want, at = {}, 0
     for i, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")

@@ -29,6 +29,7 @@ FIELDS_V1 = "URL IP-address Archive-date Content-type Archive-length"
 FIELDS_V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
 ID_HEADER = "X-Archive-Key"
+NO_URL = "urn:none"
 FILE_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
 
@@ -44,6 +45,7 @@ class ArcRecord:
     date: str
     mime: str
     body: bytes
+    version_block: bool = False  # the first record of a file, whatever the URLs of others are
 
 
 def inflate(data: bytes) -> Iterator[bytes]:
@@ -67,9 +69,13 @@ def arc_version_block(version: int, name: str, date: str) -> bytes:
     return first.encode() + rest
 
 
+def bare(url: str) -> str:
+    """A URL as a record line can hold it: white space in percent form."""
+    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "-"
+
+
 def arc_record(version: int, record: ArcRecord, offset: int = 0, name: str = "-") -> bytes:
-    url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), record.url) or "-"
-    line = f"{url} {record.ip} {record.date} {record.mime} "
+    line = f"{bare(record.url)} {record.ip} {record.date} {record.mime} "
     if version == 2:
         line += f"200 {hashlib.md5(record.body).hexdigest()} - {offset} {name} "
     return f"{line}{len(record.body)}\n".encode() + record.body + b"\n"
@@ -93,7 +99,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         raise BadArchive(f"unknown version {version!r}")
     fields = lines[1].split(" ") if len(lines) > 1 and lines[1] else (FIELDS_V1 if version == "1" else FIELDS_V2).split(" ")
     place = {f.lower(): i for i, f in enumerate(fields)}
-    yield ArcRecord(head[0], head[1], head[2], head[3], block)
+    yield ArcRecord(head[0], head[1], head[2], head[3], block, True)
     at += 1 + length
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
@@ -148,7 +154,7 @@ def to_warc(record: ArcRecord, revisits: Callable[[ArcRecord, str], dict[str, st
     payload = http[1] if http else record.body
     sha, block = digest(payload), record.body
     head = {"WARC-Record-ID": record_id(record, sha), "WARC-Date": warc_date(record.date)}
-    if record.url.startswith("filedesc:"):
+    if record.version_block:
         kind, mime = "warcinfo", "application/warc-fields"
         head["WARC-Filename"] = record.url.split("://", 1)[-1]
         block = f"software: arc converter\r\nformat: WARC File Format 1.1\r\ndescription: converted from {head['WARC-Filename']}\r\n".encode()
@@ -197,7 +203,7 @@ READ = schema(page_id="long", payload_bytes="long", payload_digest="string", rec
 
 
 def _write(root: str, date: str, file_bytes: int):
-    """Rows (key, url, html, refers_to, revisit) as ARC in memory, converted, and written as gzipped WARC files."""
+    """Rows (key, url, html, refers_to, refers_url, revisit) as ARC in memory, converted, and written as gzipped WARC files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held, version, stream, name, size, records = _blobs.Writer(root, ".warc.gz"), [], 1, None, None, 0, 0
@@ -211,17 +217,18 @@ def _write(root: str, date: str, file_bytes: int):
             arc = [arc_version_block(version, f"legacy-v{version}.arc", date)]
             at = len(arc[0])
             known = {}
-            for key, url, html, refers, revisit in held:
+            for key, url, html, refers, refers_url, revisit in held:
                 body = html.encode("utf-8", "surrogatepass")
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{ID_HEADER}: {'' if key is None else key}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                arc.append(arc_record(version, ArcRecord(url or "urn:none", "0.0.0.0", date, "text/html", head + body), at, f"legacy-v{version}.arc"))
+                arc.append(arc_record(version, ArcRecord(url or NO_URL, "0.0.0.0", date, "text/html", head + body), at, f"legacy-v{version}.arc"))
                 at += len(arc[-1])
                 if revisit:
-                    known[key] = {"WARC-Refers-To-Date": warc_date(date), "X-Refers-To-Key": str(refers)}
+                    # A decision belongs to a key and a payload: rows of one key can differ in their payloads.
+                    known[key, digest(body)] = {"WARC-Refers-To-Target-URI": bare(refers_url or NO_URL), "WARC-Refers-To-Date": warc_date(date), "X-Refers-To-Key": str(refers)}
 
             def revisits(record: ArcRecord, sha: str) -> dict[str, str] | None:
                 key = re.search(rb"(?i)\r\n" + ID_HEADER.encode() + rb": *(-?\d*)\r\n", split_http(record.body)[0])[1]
-                return known.get(int(key) if key else None)
+                return known.get((int(key) if key else None, sha))
 
             if stream is None:
                 name, stream = out.create()
@@ -230,7 +237,7 @@ def _write(root: str, date: str, file_bytes: int):
                 data = packer.compress(to_warc(record, revisits)) + packer.flush()
                 stream.write(data)
                 size += len(data)
-                records += not record.url.startswith("filedesc:")
+                records += not record.version_block
             held, version = [], 3 - version
             if size >= file_bytes:
                 close()
@@ -244,12 +251,11 @@ def _write(root: str, date: str, file_bytes: int):
 
         weight = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                # A key stands for one decision in an ARC file; a repeated key starts a new one.
-                if weight > CHUNK_BYTES or any(row[0] == h[0] and row[4] != h[4] for h in held[-1:]):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if weight > CHUNK_BYTES:
                     convert()
                     weight = 0
-                held.append((row[0], row[1], row[2] or "", row[3], row[4]))
+                held.append((row[0], row[1], row[2] or "", *row[3:]))
                 weight += len(row[2] or "") + 300
         convert()
         close()
@@ -290,13 +296,13 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scratch = Scratch(spark, "warc")
     root = scratch.at("files")
     rows = pages.select(quoted(id_col).cast("long").alias("key"), quoted(url_col).cast("string").alias("url"), F.coalesce(quoted(html_col).cast("string"), F.lit("")).alias("html"))
-    light = rows.where(F.octet_length("html") >= min_bytes).select("key", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha"))
+    light = rows.where(F.octet_length("html") >= min_bytes).select("key", "url", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha"))
     light = scratch.table(light, "digests")
-    kept = light.groupBy("sha").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("sha", "refers_to")
-    revisits = light.join(kept, "sha").where("key IS NULL OR key <> refers_to").select("key", "sha", "refers_to").distinct()
+    kept = light.groupBy("sha").agg(F.max(F.struct("key", "url")).alias("last"), F.count("*").alias("n")).where("n > 1 AND last.key IS NOT NULL").select("sha", F.col("last.key").alias("refers_to"), F.col("last.url").alias("refers_url"))
+    revisits = light.join(kept, "sha").where("key IS NULL OR key <> refers_to").select("key", "sha", "refers_to", "refers_url").distinct()
     revisits = scratch.table(revisits, "revisits").withColumnRenamed("key", "k")
     joined = rows.withColumn("s", F.unhex(F.sha1(F.col("html").cast("binary")))).join(revisits, F.col("key").eqNullSafe(F.col("k")) & (F.col("s") == F.col("sha")), "left")
-    files = joined.select("key", "url", "html", "refers_to", F.col("sha").isNotNull().alias("revisit")).mapInArrow(_write(root, date, file_bytes), schema(file="string", records="long", bytes="long"))
+    files = joined.select("key", "url", "html", "refers_to", "refers_url", F.col("sha").isNotNull().alias("revisit")).mapInArrow(_write(root, date, file_bytes), schema(file="string", records="long", bytes="long"))
     files = scratch.table(files, "manifest")
     n = max(1, files.count())
     out = files.select("file").repartition(min(n, 4 * spark.sparkContext.defaultParallelism if n < 1000 else n), "file").mapInArrow(_read(root), READ)
