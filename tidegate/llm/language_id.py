@@ -24,6 +24,8 @@ from ._base import need, quoted, schema, without
 
 UNDETERMINED = "und"
 TEXT_BYTES = 1 << 18
+#: Cells of the matrix of n-grams x languages that is summed at a time.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,23 @@ def buckets(points: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, overlap: int, most: int = TEXT_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
+    """(bytes, offsets, own) of a slice, at once (own None), or of one long text in parts: the n-grams of a part are those that start at its first
+    `own` code points; it reaches `overlap` code points into the next one, so that each n-gram is in one part."""
+    if len(offsets) > 2 or len(data) <= 2 * most:
+        yield data, offsets, None
+        return
+    heads = (data & 0xC0) != 0x80
+    a = 0
+    while a < len(data):
+        ahead = np.flatnonzero(heads[a + most : a + most + 4])
+        b = a + most + int(ahead[0]) if len(ahead) else len(data)
+        more = np.flatnonzero(heads[b : b + 4 * overlap + 4])
+        end = b + int(more[overlap]) if len(more) > overlap else len(data)
+        yield data[a:end], np.array([0, end - a]), int(heads[a:b].sum())
+        a = b
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, max_rows: int = 50_000, alpha: float = 0.5) -> Model:
     """Learn from the rows that have a text and a language; of more than max_rows of them, from those
     with the smallest hashes of their ids (about max_rows; a documented bound, the only sample here).
@@ -83,20 +102,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for first, data, offsets in _vec.slices(batch.column(0), TEXT_BYTES):
-                points, at = code_points(data, offsets)
-                for order in orders:
-                    got = buckets(points, order, bits)
-                    for i in range(len(offsets) - 1):
-                        lang = langs[first + i]
-                        if lang not in sums:
-                            sums[lang] = np.zeros(1 << bits, np.int64)
-                        if order == orders[0]:
-                            texts[lang] = texts.get(lang, 0) + 1
-                        part = got[at[i] : max(at[i], at[i + 1] - order + 1)]
-                        if len(part) > 1 << bits:
-                            sums[lang] += np.bincount(part, minlength=1 << bits)
-                        else:
-                            np.add.at(sums[lang], part, 1)
+                for lang in langs[first : first + len(offsets) - 1]:
+                    texts[lang] = texts.get(lang, 0) + 1
+                for some, place_, own in windows(data, offsets, max(orders) - 1):
+                    points, at = code_points(some, place_)
+                    for order in orders:
+                        got = buckets(points, order, bits)
+                        for i in range(len(place_) - 1):
+                            counted = sums.setdefault(langs[first + i], np.zeros(1 << bits, np.int64))
+                            part = got[at[i] : max(at[i], at[i + 1] - order + 1)][:own]
+                            if len(part) > 1 << bits:
+                                counted += np.bincount(part, minlength=1 << bits)
+                            else:
+                                np.add.at(counted, part, 1)
         for lang, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(s[at], texts[lang]))], ["lang", "bucket", "n"])
@@ -117,20 +135,28 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the likeliest language or -1, its posterior) of each text."""
+    """(index of the likeliest language or -1, its posterior) of each text of a slice. A long text is summed part by part, so memory doesn't grow with it."""
     n = len(offsets) - 1
-    points, at = code_points(data, offsets)
-    letters = np.concatenate(([0], np.cumsum(points != 32)))
-    known = letters[at[1:]] > letters[at[:-1]]
+    total, known = np.tile(model.log_prior, (n, 1)), np.zeros(n, bool)
+    for some, place, own in windows(data, offsets, max(model.orders, default=1) - 1):
+        points, at = code_points(some, place)
+        letters = np.concatenate(([0], np.cumsum(points != 32)))
+        known |= letters[at[1:]] > letters[at[:-1]]
+        if not model.languages:
+            continue
+        for order in model.orders:
+            got = buckets(points, order, model.bits)[:own]
+            first = np.minimum(at[:-1], len(got))
+            last = np.clip(at[1:] - order + 1, first, len(got))
+            step = max(1, CELLS // len(model.languages))
+            for a in range(0, len(got), step):
+                part = got[a : a + step]
+                run = np.zeros((len(part) + 1, len(model.languages)))
+                np.cumsum(model.log_prob[part], axis=0, dtype=np.float64, out=run[1:])
+                i, j = np.searchsorted(last, a, "right"), np.searchsorted(first, a + len(part), "left")
+                total[i:j] += run[np.clip(last[i:j] - a, 0, len(part))] - run[np.clip(first[i:j] - a, 0, len(part))]
     if not model.languages:
         return np.full(n, -1), np.zeros(n)
-    total = np.tile(model.log_prior, (n, 1))
-    for order in model.orders:
-        got = buckets(points, order, model.bits)
-        run = np.zeros((len(got) + 1, len(model.languages)))
-        np.cumsum(model.log_prob[got], axis=0, dtype=np.float64, out=run[1:])
-        first = np.minimum(at[:-1], len(got))
-        total += run[np.clip(at[1:] - order + 1, first, len(got))] - run[first]
     best = total.argmax(1)
     posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
     return np.where(known, best, -1), np.where(known, posterior, 0.0)
@@ -140,7 +166,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of docs and lang_pred, score; input columns of these names give way.
 
     `und` with score 0 for null texts, texts without a letter and models without languages.
-    Equal texts get equal results; the likeliest language of a tie is the first by code point.
+    Equal texts get equal results up to the last digits of the score, repeated rows too, each its own; the likeliest language of a tie is the
+    first by code point. Very long texts are read whole, in parts of TEXT_BYTES. An empty table gives an empty table. Columns pass
+    as they are, a null or odd id too.
     """
     need(docs, (text_col,), "language_id.predict")
     shared = docs.sparkSession.sparkContext.broadcast(model)
