@@ -298,6 +298,41 @@ def test_language_model_equals_plain_bayes(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, nothing).collect()} == {"und"} and language_id.predict(df.where("false"), model).count() == 0
 
 
+def test_long_texts_are_scored_and_fitted_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    long_ = "".join(rng.choices("abc é漢\U0001f600 xyz", k=9000))
+    rows = [(1, long_, "xx"), (2, "the cat " * 40, "en"), (3, long_[::-1], "yy"), (4, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    probes = [long_, "the cat", long_[:4000] + " the", None, "é" * 3000]
+    whole = language_id.fit(df, bits=10)
+    data = [(p or "").encode() for p in probes]
+    want = [language_id.score(whole, np.frombuffer(d, np.uint8), np.array([0, len(d)])) for d in data]
+    for most in (7, 64, 1000):
+        parts = [list(language_id.windows(np.frombuffer(d, np.uint8), np.array([0, len(d)]), 2, most)) for d in data]
+        for d, got in zip(data, parts):
+            if got[0][2] is not None:
+                assert sum(own for _, _, own in got) == len(d.decode()) and len(got) > 1
+                assert all(part.tobytes().decode() for part, _, _ in got)
+        monkeypatch.setattr(language_id.windows, "__defaults__", (most,))
+        monkeypatch.setattr(language_id, "CELLS", 50)
+        for d, (best, posterior) in zip(data, want):
+            b, p = language_id.score(whole, np.frombuffer(d, np.uint8), np.array([0, len(d)]))
+            assert (b == best).all() and p == pytest.approx(posterior)
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    languages = tuple(f"l{i}" for i in range(50))
+    model = language_id.Model(languages, np.zeros(50), np.zeros((1 << 16, 50), np.float32), (1, 2, 3), 16)
+    data = np.frombuffer(b"some words " * 400_000, np.uint8)
+    tracemalloc.start()
+    language_id.score(model, data, np.array([0, len(data)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+
+
 def brute_licenses(text, least=0.8):
     def words(t):
         return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", lower(t))
@@ -344,6 +379,31 @@ def test_licenses_are_told_from_their_siblings(spark):
     assert [got[i] for i in range(len(cases))] == [[n] for n, _ in cases]
 
 
+def test_whole_licences_are_told_apart(spark):
+    whole = {n: max((t for m, t in licenses.TEMPLATES if m == n), key=len) for n, _ in licenses.TEMPLATES}
+    names = [n for n in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "Zlib")]
+    rows = [(i, f"Copyright (c) 2020 Some One. All rights reserved.\n\n{whole[n]}", "a") for i, n in enumerate(names)]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, rows)).collect()}
+    assert [got[i]["licenses"] for i in range(len(names))] == [[n] for n in names]
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    ready, known = licenses.prepare(licenses.TEMPLATES)
+
+    def seconds(n):
+        text = ("Released under the MIT License. Licensed under the BSD 3-Clause License. some other words here " * n).encode()
+        g = licenses.bigrams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        began = time.perf_counter()
+        found = licenses.scan_text(g, np.flatnonzero(np.isin(g, known)), ready, 0.8)
+        assert len(found) == 2 * n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 8 * max(seconds(2000), 0.05)
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language ID", "quality rules", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"]
