@@ -260,6 +260,26 @@ def test_bad_hosts_are_rejected_and_good_ones_kept(spark):
     assert got[2001] and not got[2000]  # two documents don't condemn a host
 
 
+def test_the_prior_turns_a_small_host_s_verdict(spark, monkeypatch):
+    good = " ".join(f"w{i}x" for i in range(60))
+    marked = good.replace("x w1", "x # # # # # # # # w1")  # keeps the base rules, fails the one of symbols
+    many = [(f"h{i % 10}", good if i % 25 else marked) for i in range(1000)]
+    small, large = [("small", marked), ("small", marked), ("small", good)], [("large", marked if i % 3 else good) for i in range(600)]
+    rows = [(i, t, h) for i, (h, t) in enumerate([*many, *small, *large])]
+    raw = sum(t == marked for h, t in small) / len(small)
+    assert raw > 0.5
+    results = []
+    for few in (quality.FEW_HOSTS, 0):  # broadcast, then dealt with salts
+        monkeypatch.setattr(quality, "FEW_HOSTS", few)
+        got = quality.judge(docs_of(spark, rows)).collect()
+        assert len(got) == len(rows) and not any(r["base_failed"] for r in got)
+        results.append({r["source"]: r["host_rejected"] for r in got})
+        assert all(r["kept"] == (not r["host_rejected"]) for r in got)
+    assert results[0] == results[1] and results[0]["large"] and not results[0]["small"] and not any(results[0][f"h{i}"] for i in range(10))
+    alone = quality.judge(docs_of(spark, [(i, t, h) for i, (h, t) in enumerate(small)])).collect()
+    assert all(r["host_rejected"] for r in alone)  # where no other host tells what is usual, its own rate is the prior's
+
+
 def test_language_id_on_held_out_rows(spark):
     got = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

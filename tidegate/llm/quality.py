@@ -3,9 +3,10 @@
 A document's base figures come from one pass over its text; nothing is exploded, so a document's
 words never leave its row. Rule failures are then summed by host (the source), each rule's
 rates are shrunk by a beta prior fitted to all hosts by moments, and a host whose shrunk rate of
-any rule is beyond the limit is rejected; its verdict is joined back to its documents. Only narrow
-figures are shuffled. The figures are written to the shared folder once, as both the hosts and the
-join back read them.
+any rule is beyond the limit is rejected; its verdict is joined back to its documents. Hosts have rules of their own beside the base
+rules: of symbols, of repeated lines and of the mean length of words. Only narrow figures are shuffled, and only rejected hosts are
+joined back: broadcast if they are few, else dealt with a salt, so that a hot host spreads. The figures are written to
+the shared folder once, as both the hosts and the join back read them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ._base import SPACE_CLASS, Scratch, need, quoted
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Rejected hosts that are broadcast at most; more are joined with so many salts.
+FEW_HOSTS, SALTS = 100_000, 16
 
 
 def let(value: Column, body) -> Column:
@@ -38,10 +41,10 @@ def _covered(grams: Column) -> Column:
 
 
 def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with the base figures (long) in columns of these names: FIGURES. A null text has no words."""
+    """docs without its text, with the base figures (long) in columns of these names: FIGURES, and __lines, the number of lines with a word. A null text has no words."""
     need(docs, (text_col,), "quality.figures")
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    keep = [quoted(c) for c in docs.columns if c != text_col and c.lower() not in (*FIGURES, "__t", "__w", "__g")]
+    keep = [quoted(c) for c in docs.columns if c != text_col and c.lower() not in (*FIGURES, "__t", "__w", "__g", "__lines")]
     rows = docs.select(*keep, text.alias("__t"))
     kept = [quoted(c) for c in rows.columns if c != "__t"]
     lines = F.filter(F.split("__t", "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
@@ -50,12 +53,12 @@ def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.filter(F.split("__t", f"{SPACE_CLASS}+", -1), lambda w: w != "").alias("__w"),
         F.length(F.translate("__t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("__lines"),
     )
     w = F.col("__w")
     windows = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    rows = rows.select(*kept, "word_chars", "n_symbols", "n_dup_lines", F.size(w).cast("long").alias("n_words"), windows.alias("__g"))
-    return rows.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("__g")).cast("long").alias("n_repeat_words"))
+    rows = rows.select(*kept, "word_chars", "n_symbols", F.col("__lines.dup").cast("long").alias("n_dup_lines"), F.col("__lines.n").cast("long").alias("__lines"), F.size(w).cast("long").alias("n_words"), windows.alias("__g"))
+    return rows.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("__g")).cast("long").alias("n_repeat_words"), "__lines")
 
 
 #: Base rules by name; a document fails the base if it fails one.
@@ -63,6 +66,20 @@ def base_rules(min_words: int = 50, repeat_per_cent: int = 50) -> dict[str, Colu
     return {"too_short": F.col("n_words") < min_words, "repeated": 100 * F.col("n_repeat_words") > repeat_per_cent * F.col("n_words")}
 
 
+#: Bounds beyond which a text counts against its host: symbols per word, share of repeated lines, mean length of words.
+SYMBOLS_PER_CENT, DUP_LINES_PER_CENT, WORD_LENGTH = 10, 30, (2, 15)
+
+
+def host_rules() -> dict[str, Column]:
+    """Rules that judge hosts but not single documents."""
+    words, least, most = F.col("n_words"), *WORD_LENGTH
+    return {
+        "symbols": 100 * F.col("n_symbols") > SYMBOLS_PER_CENT * words,
+        "dup_lines": 100 * F.col("n_dup_lines") > DUP_LINES_PER_CENT * F.col("__lines"),
+        "word_length": (F.col("word_chars") < least * words) | (F.col("word_chars") > most * words),
+    }
+
+
 def host_rates(rows: DataFrame, host_col: str, rules: list[str]) -> DataFrame:
     """(host, rule, n, failed, rate): the failure rates of hosts, shrunk by each rule's beta prior.
 
@@ -80,18 +97,26 @@ def host_rates(rows: DataFrame, host_col: str, rules: list[str]) -> DataFrame:
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = 0.5, min_words: int = 50, repeat_per_cent: int = 50) -> DataFrame:
     """docs without its text, with FIGURES, base_failed, host_rejected and kept; input columns of these names give way.
 
-    kept: the base rules hold, and no rule's shrunk failure rate of the host is beyond limit. A null
+    kept: the base rules hold, and no rule's shrunk failure rate of the host (base_rules and host_rules) is beyond limit. A null
     host is a host of its own. Null texts, empty ones and such of white space only have no words and fail the base. Rows
-    are judged one by one, repeated ones too; an empty table gives an empty table.
+    are judged one by one, repeated ones and null ids too. Very long texts are judged whole; a row's text is held with its words. A rate
+    equal to the limit isn't beyond it. An empty table gives an empty table.
     """
     need(docs, (text_col, host_col), "quality.judge")
     scratch = Scratch(docs.sparkSession, "quality")
-    rules = base_rules(min_words, repeat_per_cent)
-    taken = {"base_failed", "host_rejected", "kept", *rules}
+    base, hosts = base_rules(min_words, repeat_per_cent), host_rules()
+    rules = {f"__{name}": rule for name, rule in (base | hosts).items()}
+    taken = {"base_failed", "host_rejected", "kept", "__host", "__salt", "__bad", *rules}
     keep = [quoted(c) for c in docs.columns if c in (text_col, host_col) or c.lower() not in taken]
-    rows = figures(docs.select(*keep), text_col).withColumns(rules)
-    rows = scratch.table(rows, "figures")
-    verdict = host_rates(rows, host_col, list(rules)).groupBy("host").agg(F.max(F.col("rate") > limit).alias("host_rejected")).withColumnRenamed("host", "__host")
-    out = rows.join(verdict, quoted(host_col).eqNullSafe(F.col("__host")), "left").drop("__host")
-    failed = F.greatest(*[F.col(r) for r in rules])
+    rows = scratch.table(figures(docs.select(*keep), text_col).withColumns(rules).drop("__lines"), "figures")
+    bad = host_rates(rows, host_col, list(rules)).groupBy("host").agg(F.max("rate").alias("worst")).where(F.col("worst") > limit)
+    bad = scratch.table(bad.select(F.col("host").alias("__host"), F.lit(True).alias("__bad")), "rejected")
+    same = quoted(host_col).eqNullSafe(F.col("__host"))
+    if bad.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
+        out = rows.join(F.broadcast(bad), same, "left")
+    else:
+        salted = bad.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("__salt", (F.rand(0) * SALTS).cast("int")).join(salted, same & (F.col("__salt") == F.col("__of")), "left").drop("__salt", "__of")
+    out = out.withColumn("host_rejected", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
+    failed = F.greatest(*[F.col(f"__{name}") for name in base])
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("host_rejected")).drop(*rules)

@@ -72,12 +72,13 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1),
 lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 f AS (
   SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-r AS (SELECT *, n_words < 50 AS too_short, 100 * n_repeat_words > 50 * n_words AS repeated FROM f),
+r AS (SELECT *, n_words < 50 AS too_short, 100 * n_repeat_words > 50 * n_words AS repeated, 100 * n_symbols > 10 * n_words AS symbols,
+  100 * n_dup_lines > 30 * n_lines AS dup_lines, word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length FROM f),
 hosts AS (
-  SELECT source, 'too_short' AS rule, count(*) AS n, sum(too_short::INT)::BIGINT AS failed FROM r GROUP BY source
-  UNION ALL SELECT source, 'repeated', count(*), sum(repeated::INT)::BIGINT FROM r GROUP BY source),
+  SELECT source, rule, count(*) AS n, sum(failed::INT)::BIGINT AS failed
+  FROM (SELECT source, unnest(['too_short', 'repeated', 'symbols', 'dup_lines', 'word_length']) AS rule, unnest([too_short, repeated, symbols, dup_lines, word_length]) AS failed FROM r) GROUP BY ALL),
 sums AS (SELECT rule, sum(n)::DOUBLE AS total, count(*) AS h, sum(failed)::DOUBLE / sum(n) AS p, sum(failed::DOUBLE * failed / n) AS sq FROM hosts GROUP BY rule),
 prior AS (SELECT rule, p, least(greatest(p * (1 - p) / greatest(sq / total - p * p - p * (1 - p) * (h - 1) / total, 1e-12) - 1, 1.0), 1e6) AS m FROM sums),
 verdict AS (SELECT source, max((failed + m * p) / (n + m)) > 0.5 AS bad FROM hosts JOIN prior USING (rule) GROUP BY source)
