@@ -262,9 +262,9 @@ def test_bad_hosts_are_rejected_and_good_ones_kept(spark):
 
 def test_the_prior_turns_a_small_host_s_verdict(spark, monkeypatch):
     good = " ".join(f"w{i}x" for i in range(60))
-    marked = good.replace("x w1", "x # # # # # # # # w1")  # keeps the base rules, fails the one of symbols
+    marked = good + " ########"  # keeps the base rules, fails the one of symbols
     many = [(f"h{i % 10}", good if i % 25 else marked) for i in range(1000)]
-    small, large = [("small", marked), ("small", marked), ("small", good)], [("large", marked if i % 3 else good) for i in range(600)]
+    small, large = [("small", marked), ("small", marked), ("small", good)], [("large", marked if i % 3 else good) for i in range(60)]
     rows = [(i, t, h) for i, (h, t) in enumerate([*many, *small, *large])]
     raw = sum(t == marked for h, t in small) / len(small)
     assert raw > 0.5
