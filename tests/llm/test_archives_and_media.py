@@ -252,7 +252,7 @@ def page(body, head=""):
 
 
 def text_of(body):
-    return html_text.main_text(html_text.read_lines(page(body)), None)[0]
+    return html_text.main_text(html_text.read_lines(page(body)))[0]
 
 
 def test_article_without_furniture():
@@ -294,6 +294,45 @@ def test_alignment_is_a_longest_common_subsequence():
         assert all(any(x == a[i] for x in it) for i in got)
 
 
+def test_alignment_of_lines_that_repeat(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(html_text, "FEW_PAIRS", 0)
+    for rows in (1 << 26, 0):
+        monkeypatch.setattr(html_text, "ROW_BYTES", rows)
+        for _ in range(200):
+            a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(2))
+            got = sorted(html_text.common(a, b))
+            assert len(got) == brute_lcs(a, b)
+            it = iter(b)
+            assert all(any(x == a[i] for x in it) for i in got)
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    def seconds(build, n):
+        page_ = build(n)
+        began = time.perf_counter()
+        lines = html_text.read_lines(page_)
+        html_text.main_text(lines, [(1, lines[::-1])])
+        return time.perf_counter() - began
+
+    kinds = [lambda n: "<b>" * n + "</u>" * n, lambda n: "<u><article>" + "<b>" * n + "</u>" * n, lambda n: "<b>" * n + "<h1>" * n, lambda n: "<a " * n, lambda n: "<header><div>" * n + "<p>x" * n, lambda n: "<p>x<p>y" * (n // 10), lambda n: "<!-- " * n]
+    for build in kinds:
+        seconds(build, 1000)
+        assert seconds(build, 40_000) < 10 * max(seconds(build, 10_000), 0.05), build(3)
+
+
+def test_a_near_copy_tells_nothing_about_the_site(spark):
+    story = "".join(f"<p>paragraph {i} of a long story that stands at two places</p>" for i in range(20))
+    frame = lambda body: page(f"<p>Welcome to the site</p><div>{body}</div>")
+    rows = [(1, "http://h.example/a/1", frame(story + "<p>one</p>")), (2, "http://h.example/a/2", frame(story + "<p>two</p>")), (3, "http://h.example/a/3x", frame("<p>something else</p><p>that is long enough</p>"))]
+    got = {r["page_id"]: r for r in html_text.extract(pages_of(spark, rows)).collect()}
+    assert got[2]["partner_id"] == 3 and got[2]["text"].startswith("paragraph 0") and got[2]["text"].endswith("two") and "Welcome" not in got[2]["text"]
+    assert got[1]["partner_id"] is None and got[1]["text"].count("paragraph") == 20  # its only neighbour is a copy
+    assert got[3]["partner_id"] == 2 and got[3]["text"] == "something else\n\nthat is long enough"
+
+
 def test_differencing_deletes_what_neighbours_share(spark, monkeypatch):
     def site(k, own):
         return page(f"<p>Welcome to the site</p><div><p>{own}</p><p>Article {k}</p></div><p>All about us</p>")

@@ -2,8 +2,8 @@
 
 A page is read into lines: the texts of its blocks, each with the region it stands in. Pages are paired by
 URL path within their host: in the order of (host, path) the nearest page is the neighbour before or behind,
-whichever has more of the path in common. The lines of the two are aligned by a longest common
-subsequence; lines they share are what the site prints on every page, and are deleted.
+whichever has more of the path in common, unless it is a copy of the page; then the other one. The lines of the two are aligned by a
+longest common subsequence; lines they share are what the site prints on every page, and are deleted.
 
 Regions bound what differencing may do. What stands in menus, page headers, footers, sidebars, notices,
 adverts, forms, comments or scripts goes even if it is unlike the neighbour's, as such lines often change from
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import html as _html
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ CHROME = frozenset("nav footer aside form menu button select dialog svg canvas o
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog note".split())
-#: Words in class or id that name page furniture.
+#: Words in class or id that name page furniture, chosen here.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager widget widgets related recommended recommendations comment comments commentlist respond replies reply disqus discussion".split())
 COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion".split())
 CONTENT = frozenset("article articlebody content maincontent post entry story".split())
@@ -48,6 +49,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
 _SPACE = re.compile(r"\s+")
+_OPEN_COMMENT = re.compile(r"<[!?]")
 SAMPLE_A_RANGE = 16
 
 
@@ -64,7 +66,6 @@ class Element:
     level: int
     furniture: bool
     header: bool = False  # a header inside an article keeps its headings only
-    pre: list = field(default_factory=list)
 
 
 def _look(name: str, attrs: str, up: Element) -> Element:
@@ -94,38 +95,74 @@ def _look(name: str, attrs: str, up: Element) -> Element:
     return Element(name, level, furniture, header)
 
 
+#: Elements out of which end tags of other names don't reach, and names whose end tags do.
+BARRIERS = frozenset("article main td th table body".split())
+REACHING = frozenset("html body article main table tr".split())
+#: Elements in which a paragraph that stays open isn't closed by a block inside.
+HOLDS_P = ("article", "main", "td", "th", "table", "button", "div", "section", "li", "blockquote", "aside", "nav", "footer", "header", "form")
+
+
+class Stack:
+    """Open elements, and the places of each name among them, so that no tag costs a walk down the stack."""
+
+    def __init__(self):
+        self.elements = [Element("", 0, False)]
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.elements))
+        if element.name in BARRIERS:
+            self.barriers.append(len(self.elements))
+        self.elements.append(element)
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def cut(self, at: int) -> bool:
+        """Close all from this place on; whether a block was among them."""
+        block = False
+        for element in reversed(self.elements[at:]):
+            self.places[element.name].pop()
+            if element.name in BARRIERS:
+                self.barriers.pop()
+            block |= element.name in BLOCK
+        del self.elements[at:]
+        return block
+
+
 def read_lines(page: str) -> list[Line]:
     """The blocks of a page in order, their character references decoded and white space made single."""
     out: list[Line] = []
-    stack = [Element("", 0, False)]
+    stack = Stack()
     text: list[str] = []
 
     def end_block() -> None:
         if text:
             got = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             if got:
-                top = stack[-1]
-                kept = not top.header or any(e.name in HEADINGS for e in stack)
+                top = stack.elements[-1]
+                kept = not top.header or stack.last(HEADINGS) > 0
                 out.append(Line(got, top.level, top.furniture or not kept))
             text.clear()
 
     def close(names: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                end_block()
-                del stack[i:]
-                return
-            if stack[i].name in within:
-                return
-
-    at, n = 0, len(page)
+        i = stack.last(names)
+        if i > stack.last(within):
+            end_block()
+            stack.cut(i)
+
+    at, n, last_end = 0, len(page), page.rfind(">")
     while at < n:
-        tag = _TAG.search(page, at)
+        tag = _TAG.search(page, at) if at <= last_end else _OPEN_COMMENT.search(page, at)
         if tag is None:
             text.append(page[at:])
             break
         if tag.start() > at:
             text.append(page[at : tag.start()])
+        if at > last_end:
+            break
         at = tag.end()
         name = (tag[2] or tag[5] or "").lower()
         if not name:
@@ -134,20 +171,17 @@ def read_lines(page: str) -> list[Line]:
             continue
         ending, attrs = bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
         if ending:
-            if name == "br" or name == "p" and all(e.name != "p" for e in stack):
+            i = stack.last((name,))
+            if name == "br" or name == "p" and not i:
                 text.append(" ") if name == "br" else end_block()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    if name in BLOCK or any(e.name in BLOCK for e in stack[i:]) or stack[i].furniture != stack[i - 1].furniture:
-                        end_block()
-                    del stack[i:]
-                    break
-                if stack[i].name in ("article", "main", "td", "th", "table", "body") and name not in ("html", "body", "article", "main", "table", "tr"):
-                    break  # an end tag doesn't reach out of these
+            elif i and (name in REACHING or not stack.barriers or stack.barriers[-1] <= i):
+                outer, inner = stack.elements[i - 1], stack.elements[i]
+                if name in BLOCK or inner.furniture != outer.furniture or any(e.name in BLOCK for e in stack.elements[i:]):
+                    end_block()
+                stack.cut(i)
             continue
         if name in BLOCK:
-            close(("p",), ("article", "main", "td", "th", "table", "button", "div", "section", "li", "blockquote", "aside", "nav", "footer", "header", "form"))
+            close(("p",), HOLDS_P)
             if name in CLOSES_SAME:
                 same, within = CLOSES_SAME[name]
                 close(tuple(same.split()), within)
@@ -162,32 +196,53 @@ def read_lines(page: str) -> list[Line]:
             close_at = page.find(">", end.end()) if end else -1
             at = close_at + 1 if close_at >= 0 else n
             continue
-        element = _look(name, attrs, stack[-1])
-        if name not in BLOCK and element.furniture != stack[-1].furniture:
+        element = _look(name, attrs, stack.elements[-1])
+        if name not in BLOCK and element.furniture != stack.elements[-1].furniture:
             end_block()
         if not (attrs.rstrip().endswith("/") and name in ("svg", "path", "rect", "use", "circle")):
-            stack.append(element)
+            stack.push(element)
     end_block()
     return out
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
     """Places in a of a longest common subsequence of the two lists."""
-    lo, out = 0, set()
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        out.add(lo)
+    only = set(a) & set(b)
+    at = [i for i, x in enumerate(a) if x in only]
+    return {at[i] for i in _align([a[i] for i in at], [x for x in b if x in only])}
+
+
+#: Pairs of equal lines, for each line, up to which they are gone through one by one; bytes of bit rows that are kept for lines.
+FEW_PAIRS, ROW_BYTES = 32, 1 << 26
+
+
+def _align(a: list[str], b: list[str]) -> set[int]:
+    """common(): by the pairs of equal lines if they are few; else a is halved, and b where rows of bits say that the halves' subsequences are longest together,
+    so that memory stays in proportion to the lines."""
+    lo, ha, hb = 0, len(a), len(b)
+    while lo < ha and lo < hb and a[lo] == b[lo]:
         lo += 1
-    ha, hb = len(a), len(b)
+    out = set(range(lo))
     while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
         ha, hb = ha - 1, hb - 1
         out.add(ha)
+    a, b = a[lo:ha], b[lo:hb]
     where: dict[str, list[int]] = {}
-    for j in range(hb - 1, lo - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
+    if len(a) < 2 or sum(len(where.get(x, ())) for x in a) <= FEW_PAIRS * (len(a) + len(b)):
+        return out | {lo + i for i in _by_pairs(a, where)}
+    half = len(a) // 2
+    front, back = _longest(a[:half], b), _longest(a[: half - 1 : -1], b[::-1])
+    cut = int((front + back[::-1]).argmax())
+    return out | {lo + i for i in _align(a[:half], b[:cut])} | {lo + half + i for i in _align(a[half:], b[cut:])}
+
+
+def _by_pairs(a: list[str], where: dict[str, list[int]]) -> Iterator[int]:
     ends: list[int] = []  # least end in b of a subsequence of each length
     last: list[tuple[int, object]] = []
-    for i in range(lo, ha):
-        for j in where.get(a[i], ()):
+    for i, x in enumerate(a):
+        for j in where.get(x, ()):
             k = bisect_left(ends, j)
             link = (i, last[k - 1] if k else None)
             if k == len(ends):
@@ -197,19 +252,45 @@ def common(a: list[str], b: list[str]) -> set[int]:
                 ends[k], last[k] = j, link
     link = last[-1] if last else None
     while link is not None:
-        out.add(link[0])
+        yield link[0]
         link = link[1]
-    return out
 
 
-def main_text(lines: list[Line], partner: list[Line] | None) -> tuple[str, int]:
-    """(text, lines shared with the partner)."""
-    shared = common([x.text for x in lines], [x.text for x in partner]) if partner is not None else set()
+def _longest(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of a with each head of b: rows of bits as whole numbers, a step a line of a."""
+    n = len(b)
+    names = {x: i for i, x in enumerate(dict.fromkeys(b))}
+    of = np.fromiter((names[x] for x in b), np.int64, n)
+    rows: dict[str, int] = {}
+    full = row = (1 << n) - 1
+    for x in a:
+        mask = rows.get(x)
+        if mask is None:
+            mask = int.from_bytes(np.packbits(of == names[x], bitorder="little").tobytes(), "little") if x in names else 0
+            if (len(rows) + 1) * (n // 8 + 64) <= ROW_BYTES:
+                rows[x] = mask
+        part = row & mask
+        row = ((row + part) | (row - part)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+#: Share of a page's text in lines of its neighbour from which the two count as copies, which tell nothing about the site.
+COPY = 0.8
+
+
+def main_text(lines: list[Line], partners: Iterable[tuple[object, list[Line]]] = ()) -> tuple[str, int, object]:
+    """(text, lines shared with the partner, the partner's name). The partner is the first that isn't a copy of the page."""
+    shared, partner = set(), None
+    total = sum(len(x.text) for x in lines if not x.furniture)
+    for name, other in partners:
+        got = common([x.text for x in lines], [x.text for x in other])
+        if sum(len(lines[i].text) for i in got if not lines[i].furniture) < COPY * total or not total:
+            shared, partner = got, name
+            break
     kept = [(i, x) for i, x in enumerate(lines) if not x.furniture and (x.level == 3 or i not in shared)]
-    if not kept and partner is not None:  # a page that only repeats its neighbour
-        kept = [(i, x) for i, x in enumerate(lines) if not x.furniture]
     top = max((x.level for _, x in kept), default=0)
-    return "\n\n".join(x.text for _, x in kept if x.level == top), len(shared)
+    return "\n\n".join(x.text for _, x in kept if x.level == top), len(shared), partner
 
 
 def place(url: str | None) -> tuple[str, str, str]:
@@ -240,9 +321,9 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if page is None or page[5]:
             return
         choices = [p for p in (before, behind) if p is not None and p[0] == page[0] and p[2] and p[2] == page[2]]
-        partner = max(choices, key=lambda p: likeness(p[3], page[3]), default=None)
-        text, shared = main_text(page[4], partner[4] if partner else None)
-        rows.append((page[1], page[6], text, len(text), shared, partner[1] if partner else None))
+        choices.sort(key=lambda p: likeness(p[3], page[3]), reverse=True)
+        text, shared, partner = main_text(page[4], [(p[1], p[4]) for p in choices])
+        rows.append((page[1], page[6], text, len(text), shared, partner))
 
     def emit() -> pa.RecordBatch:
         got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()))], RESULT.names)
@@ -266,7 +347,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     text: the main text, blocks in page order with an empty line between; empty if there is none, as for null
     html. n_chars: its code points. Pages without URL or host, and the only page of a host, have no partner; structure
-    alone decides then. Pages with equal URLs are ordered by id and are each other's nearest. Each row gives a row,
+    alone decides then, as where both neighbours are copies of the page. Pages with equal URLs are ordered by id and are each other's nearest. A page is
+    read whole, in time that grows with its length, however many tags stay open; lines that many lines of the neighbour equal cost their
+    product, 64 pairs in a step. Each row gives a row,
     repeated ones too; an empty table gives an empty table. Other columns are ignored. A range has about range_pages pages, more beyond
     50,000 ranges; its bounds come from about SAMPLE_A_RANGE URLs for each. Neither changes results.
     """
@@ -287,7 +370,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: bisect_right(bounds, k)).astype("int32")
+        return pd.Series(np.searchsorted(np.array(bounds, object), keys.to_numpy(object), "right").astype(np.int32), index=keys.index)
 
     rows = rows.withColumn("part", range_of("key") if bounds else F.lit(0))
     if bounds:
