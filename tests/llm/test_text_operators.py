@@ -91,6 +91,30 @@ def test_join_equals_brute_force(spark, k, per_cent, blocks):
     assert got == brute_components(rows, k, per_cent)
 
 
+def test_join_with_salted_cells_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW_CELLS", 0)
+    rows = near_copies(77)
+    df = docs_of(spark, [(i, t, "a") for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, k=3, per_cent=80, block_rows=4).collect()}
+    assert got == brute_components(rows, 3, 80)
+
+
+def test_buckets_hold_copies_that_lie_in_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    sets = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(100)]
+    monkeypatch.setattr(ngram_join, "HELD", 500)
+    monkeypatch.setattr(ngram_join, "LEAST_BUCKETS", 1)
+    for copies in (1, 20):
+        rows = [(c * 1000 + i, t) for c in range(copies) for i, t in enumerate(sets)]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, copies), "id bigint, text string")
+        packed = df.mapInArrow(ngram_join._pack_routes(5, 80, ngram_join.bucket_count(56 * len(rows)), None), "bucket int, low bigint, width int, payload binary, links binary")
+        size = F.length("payload") / (ngram_join.SENT_BITS // 8 + F.col("width"))
+        largest = packed.groupBy("bucket").agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0]
+        assert largest <= 2 * 500  # by chance a bucket has some more than its share
+
+
 def test_join_of_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(docs_of(spark, [*ODD, (9, "ONE", "z")]), k=3, per_cent=90).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (9, 1, 4), (5, 1, 5), (6, 1, 6), (7, 2, 7), (None, 1, None)], key=str)

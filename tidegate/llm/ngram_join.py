@@ -8,8 +8,8 @@ corner bounds it for the whole subtree; what survives is verified on the full se
 One tree over a corpus would be both unbounded and, in so many dimensions, hardly selective, so the
 tree is a forest whose trunks no link can cross:
 
-1. Equal sets fold into one representative, the smallest id (a partial aggregate, so hot copies cost
-   nothing).
+1. Equal sets fold into one representative, the smallest id (a partial aggregate over digests). Copies are still
+   read and routed where they are, but no text of theirs moves.
 2. A set of size a and a partner of size b in a..a/t differ in at most r shingles. Split by hash into
    more than r groups, two linked sets agree wholly on at least one group. So each document is
    routed by the hashes of its groups' contents (with as many groups as its size class asks for), and
@@ -337,10 +337,15 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int, folded:
     return np.sort(counts.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def bucket_count(shingles_: int) -> int:
+    """Buckets for documents with so many shingles, those of copies included: copies that lie in different tasks send their routes each. There are
+    about half as many routes as shingles, so a bucket has about HELD of them at most. Routes are dealt by their first 24 bits."""
+    return max(LEAST_BUCKETS, min(shingles_ // (2 * HELD) + 1, 1 << 24))
+
+
 def meetings(docs: DataFrame, id_col: str, text_col: str, k: int, per_cent: int, shingles_: int, common: np.ndarray | None = None) -> DataFrame:
-    """Links (a, b) whose components are the cells. A bucket has about HELD routes at most, of about half as many as there are shingles;
-    tasks take one or several."""
-    buckets = max(LEAST_BUCKETS, min(shingles_ // (2 * HELD) + 1, 1 << 20))
+    """Links (a, b) whose components are the cells; tasks take one bucket or several."""
+    buckets = bucket_count(shingles_)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets if buckets > LEAST_BUCKETS else 1)
     packed = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
     packed = packed.mapInArrow(_pack_routes(k, per_cent, buckets, common), schema(bucket="int", low="long", width="int", payload="binary", links="binary"))
@@ -415,30 +420,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signs = scratch.table(sketch(docs, id_col, text_col, k), "signs")
 
     folded = scratch.table(signs.where("n > 0 AND id IS NOT NULL").groupBy("digest", "n").agg(F.min("id").alias("rep")), "folded")
-    total = folded.agg(F.sum("n")).first()[0] or 0
+    total = signs.where("id IS NOT NULL").agg(F.sum("n")).first()[0] or 0
     common = common_shingles(docs, id_col, text_col, k, folded)
     met = connected_components(meetings(docs, id_col, text_col, k, per_cent, int(total), common), scratch, "cells")
     # An id that stands in several rows can represent several sets; it is one node.
     reps = folded.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
     cells = scratch.table(met.select(F.col("node").alias("id"), F.col("component").alias("cell")).join(reps, "id"), "cells")
 
-    stats = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).where("rows > 1")
-    blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("weight") / block_shingles), F.lit(1)).cast("long")
-    many = F.when(F.col("rows") > block_rows, blocks).when(F.col("weight") > block_shingles, blocks).otherwise(F.lit(1))
-    plan = scratch.table(cells.select("id", "cell").join(stats.select("cell", many.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "plan")
+    blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("long")
+    stats = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).where("rows > 1").select("cell", blocks.alias("blocks")), "stats")
+    giants = scratch.table(stats.where("blocks > 1"), "giants")
+    n_giants = giants.count()
+    # Cells without a row in giants have block_rows rows at most, so the join that drops those of one document has no hot key.
+    marked = _by_cell(cells.select("id", "cell"), giants, n_giants)
+    small = marked.where("blocks IS NULL").select("id", "cell").join(stats.where("blocks = 1").select("cell"), "cell", "left_semi").withColumn("blocks", F.lit(1).cast("long"))
+    plan = scratch.table(marked.where("blocks IS NOT NULL").unionByName(small).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "cell", "blocks", "block"), "plan")
 
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
     none = F.lit(None).cast("long")
     own = plan.select("cell", "block", "id", none.alias("comp"), none.alias("side"))
-    giants = stats.select("cell", many.alias("blocks")).where("blocks > 1")
-    giant = giants.limit(1).count() > 0
-    if giant:
+    if n_giants:
         # The pivots of a giant cell: its smallest hashes of ids, found by partial aggregates of bounded lists.
         low = plan.where("blocks > 1").groupBy("cell", "blocks", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(pivots)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(2)), "id")).alias("p"))
         own = own.unionByName(low.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("p.id").alias("id"), none.alias("comp"), none.alias("side"))).distinct()
     links = scratch.table(_join_blocks(with_texts(own, texts), k, per_cent), "links")
-    if giant:
-        links = _across_blocks(links, plan, texts, scratch, k, per_cent)
+    if n_giants:
+        links = _across_blocks(links, plan, texts, scratch, k, per_cent, n_giants)
 
     # Members of a set, and ids in several rows, are links too; both are one row for each document at most.
     twice = signs.where("n > 0 AND id IS NOT NULL").join(folded, ["digest", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -454,7 +461,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
-def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch: Scratch, k: int, per_cent: int) -> DataFrame:
+#: Rows of a table of cells that is broadcast at most; a longer one is joined with so many salts.
+FEW_CELLS, SALTS = 100_000, 16
+
+
+def _by_cell(rows: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """rows (id, cell, ...) with the columns of a table of one row a cell, n in all; null where it has none. A cell may hold a large share of the rows."""
+    if n <= FEW_CELLS:
+        return rows.join(F.broadcast(cells), "cell", "left")
+    salted = cells.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS))).join(salted, ["cell", "__salt"], "left").drop("__salt")
+
+
+def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch: Scratch, k: int, per_cent: int, n_giants: int) -> DataFrame:
     """Links between blocks of a giant cell, where its documents aren't one component yet.
 
     The rows outside the cell's largest component are compared with all rows of the other blocks,
@@ -463,7 +482,7 @@ def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch:
     rows = plan.where("blocks > 1").join(got, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("cell", "block", "blocks", "id", "comp")
     counts = rows.groupBy("cell", "comp").agg(F.count("*").alias("n"))
     top = counts.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("cell", F.col("top.comp").alias("main"))
-    rows = scratch.table(rows.join(top, "cell").withColumn("rest", F.col("comp") != F.col("main")), "rest")
+    rows = scratch.table(_by_cell(rows, top, n_giants).where("main IS NOT NULL").withColumn("rest", F.col("comp") != F.col("main")), "rest")
     if rows.limit(1).count() == 0:
         return links
     active = rows.where("rest").select("cell", "blocks", "block").distinct()
