@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import connect, expected, rows_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegate.llm import _vec, language_id, licenses, ngram_join, packing, quality, source_mix
+from tidegate.llm import _base, _vec, language_id, licenses, ngram_join, packing, quality, source_mix
 from tidegate.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -92,7 +93,7 @@ def test_join_equals_brute_force(spark, k, per_cent, blocks):
 
 
 def test_join_with_salted_cells_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FEW_CELLS", 0)
+    monkeypatch.setattr(_base, "FEW", 0)
     rows = near_copies(77)
     df = docs_of(spark, [(i, t, "a") for i, t in rows])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, k=3, per_cent=80, block_rows=4).collect()}
@@ -100,8 +101,6 @@ def test_join_with_salted_cells_equals_brute_force(spark, monkeypatch):
 
 
 def test_buckets_hold_copies_that_lie_in_many_tasks(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     rng = random.Random(9)
     sets = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(100)]
     monkeypatch.setattr(ngram_join, "HELD", 500)
@@ -234,6 +233,45 @@ def test_flight_keeps_sums_and_probabilities():
     assert np.abs(hits / 3000 - probs).max() < 0.05
 
 
+def test_mix_stage_gives_the_same_rows_whatever_their_files(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 40))), rng.choice(["a", "b"])) for i in range(300)]
+    rows = [(i, t, "en", s, len(t)) for i, t, s in [*rows, *rows[:5]]] + [(None, None, None, None, None)] * 3 + [(None, "no id", "en", None, 5)]
+    mixed = []
+    for files in (1, 7):
+        rng.shuffle(rows)
+        path = str(tmp_path / str(files))
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(files).write.parquet(path)
+        mixed.append(sorted(map(repr, corpus_pipeline._mix(spark, spark.read.parquet(path), SF).collect())))
+    assert mixed[0] == mixed[1] and len(mixed[0]) > 300
+
+
+ODD_DOCS = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, " \t", None, "a", 2), (None, "a text without an id", "en", None, 20), (3, "twice", "fr", "b", 5), (3, "twice", "fr", "b", 5), (4, "w " * 300_000, "en", "a", None), (5, "a longer text of some words " * 3, "en", "a", 84)]
+
+
+@pytest.mark.parametrize("rows", [ODD_DOCS, [], [(None, None, None, None, None)] * 3])
+def test_each_stage_takes_odd_rows(spark, tmp_path, rows):
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, kinds).withColumns({"component_id": F.lit("x"), "__row": F.lit(1), "copies": F.lit("y")}).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        out = [tuple(r) for r in got.collect()]
+        if name == "best-fit packing":
+            assert sum(r["piece_length"] for r in got.collect()) == sum(len(WORD.findall(r[1] or "")) for r in rows) and len(out) >= len(rows)
+            continue
+        assert got.columns == list(corpus_pipeline.COLUMNS) and set(out) <= set(rows)
+        if name == "language ID":
+            assert all(any(c.isalpha() for c in r[1]) for r in out)
+        elif name == "quality rules":
+            assert out == []  # short or repeated, all of them
+        elif name == "n-gram Jaccard join":
+            wordless = [r for r in rows if not WORD.findall(r[1] or "")]
+            assert len(out) == len(wordless) + len({r for r in rows if r not in wordless})
+        else:
+            assert all(out.count(r) <= 2 * rows.count(r) for r in out)
+
+
 def test_mix(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(1, 40)), rng.choice(["a", "b", "c", None])) for i in range(900)]
@@ -293,8 +331,8 @@ def test_the_prior_turns_a_small_host_s_verdict(spark, monkeypatch):
     raw = sum(t == marked for h, t in small) / len(small)
     assert raw > 0.5
     results = []
-    for few in (quality.FEW_HOSTS, 0):  # broadcast, then dealt with salts
-        monkeypatch.setattr(quality, "FEW_HOSTS", few)
+    for few in (_base.FEW, 0):  # broadcast, then dealt with salts
+        monkeypatch.setattr(_base, "FEW", few)
         got = quality.judge(docs_of(spark, rows)).collect()
         assert len(got) == len(rows) and not any(r["base_failed"] for r in got)
         results.append({r["source"]: r["host_rejected"] for r in got})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -16,9 +17,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of our own is set on a local master, whose
+    executors are the driver's process; on a cluster they couldn't see it, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,6 +72,22 @@ def without(df: DataFrame, names: Iterable[str]) -> list[Column]:
     return [quoted(c) for c in df.columns if c.lower() not in names]
 
 
+#: Rows of a table that join_small broadcasts at most, and salts with which it deals a longer one.
+FEW, SALTS = 100_000, 16
+
+
+def join_small(rows: DataFrame, small: DataFrame, key: str, of: str, n: int) -> DataFrame:
+    """rows with the columns of `small`, n rows with one for each value of `of` (null is a value), or null where it has none; `of` goes.
+
+    One key may hold a large share of the rows: a table of few rows is broadcast, a longer one is repeated for each salt, so that the key's rows spread."""
+    same = quoted(key).eqNullSafe(F.col(of))
+    if n <= FEW:
+        return rows.join(F.broadcast(small), same, "left").drop(of)
+    salted = small.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = rows.withColumn("__salt", F.monotonically_increasing_id() % SALTS)
+    return dealt.join(salted, same & (F.col("__salt") == F.col("__of")), "left").drop("__salt", "__of", of)
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null: 0. Every word ends before white space or the end, so runs of white space count."""
     body = F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")

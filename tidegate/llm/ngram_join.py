@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._base import Scratch, need, quoted, schema
+from ._base import Scratch, join_small, need, quoted, schema
 from ._components import connected_components
 
 #: Ratio of a size class's greatest to its least size; deviations by which weak groups should stay below the slack.
@@ -461,16 +461,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
-#: Rows of a table of cells that is broadcast at most; a longer one is joined with so many salts.
-FEW_CELLS, SALTS = 100_000, 16
-
-
 def _by_cell(rows: DataFrame, cells: DataFrame, n: int) -> DataFrame:
-    """rows (id, cell, ...) with the columns of a table of one row a cell, n in all; null where it has none. A cell may hold a large share of the rows."""
-    if n <= FEW_CELLS:
-        return rows.join(F.broadcast(cells), "cell", "left")
-    salted = cells.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS))).join(salted, ["cell", "__salt"], "left").drop("__salt")
+    return join_small(rows, cells.withColumnRenamed("cell", "__cell"), "cell", "__cell", n)
 
 
 def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch: Scratch, k: int, per_cent: int, n_giants: int) -> DataFrame:

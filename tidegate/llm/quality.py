@@ -14,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import SPACE_CLASS, Scratch, need, quoted
+from ._base import FEW, SPACE_CLASS, Scratch, join_small, need, quoted
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rejected hosts that are broadcast at most; more are joined with so many salts.
-FEW_HOSTS, SALTS = 100_000, 16
 
 
 def let(value: Column, body) -> Column:
@@ -106,17 +104,12 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", lim
     scratch = Scratch(docs.sparkSession, "quality")
     base, hosts = base_rules(min_words, repeat_per_cent), host_rules()
     rules = {f"__{name}": rule for name, rule in (base | hosts).items()}
-    taken = {"base_failed", "host_rejected", "kept", "__host", "__salt", "__bad", *rules}
+    taken = {"base_failed", "host_rejected", "kept", "__host", "__of", "__salt", "__bad", *rules}
     keep = [quoted(c) for c in docs.columns if c in (text_col, host_col) or c.lower() not in taken]
     rows = scratch.table(figures(docs.select(*keep), text_col).withColumns(rules).drop("__lines"), "figures")
     bad = host_rates(rows, host_col, list(rules)).groupBy("host").agg(F.max("rate").alias("worst")).where(F.col("worst") > limit)
     bad = scratch.table(bad.select(F.col("host").alias("__host"), F.lit(True).alias("__bad")), "rejected")
-    same = quoted(host_col).eqNullSafe(F.col("__host"))
-    if bad.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
-        out = rows.join(F.broadcast(bad), same, "left")
-    else:
-        salted = bad.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = rows.withColumn("__salt", (F.rand(0) * SALTS).cast("int")).join(salted, same & (F.col("__salt") == F.col("__of")), "left").drop("__salt", "__of")
-    out = out.withColumn("host_rejected", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
+    out = join_small(rows, bad, host_col, "__host", bad.limit(FEW + 1).count())
+    out = out.withColumn("host_rejected", F.coalesce("__bad", F.lit(False))).drop("__bad")
     failed = F.greatest(*[F.col(f"__{name}") for name in base])
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("host_rejected")).drop(*rules)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import Scratch, need, quoted, schema, word_count
+from ._base import Scratch, join_small, need, quoted, schema, word_count
 
 CHUNK = 4096
 EPS = 1e-9
@@ -138,22 +138,24 @@ def _fly(seed: int, level: int, last: bool):
     return run
 
 
-FLYING = schema(id="long", size="long", number="long", prob="double", chunk="long")
+FLYING = schema(id="long", size="long", number="long", prob="double", draw="long", chunk="long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, draw_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row of docs; size: words of the text, null: 0.
 
     Each row is taken floor(f) or floor(f) + 1 times, where f <= cap is its source's target over its
     size, so none exceeds ceil(cap) times its size. Sources without words have target 0. A null source is a
     source; texts that are null or empty have size 0 and are drawn like others. Rows with one id are
-    rows of their own. An empty table gives an empty table. Other columns are ignored.
-    Sums of each source come to the driver, one row a source.
+    rows of their own. Very long texts are counted whole. An empty table gives an empty table. Other columns are ignored.
+    Draws go by a hash of the id, or of draw_col if one is given (what is in a row, say, where ids are only places); rows that are alike in that and in
+    size are in the order of their ids. The targets need each source's sum: one row a source comes to the driver, which is bounded by the number
+    of sources, not of documents.
     """
-    need(docs, (id_col, text_col, source_col), "source_mix")
+    need(docs, (id_col, text_col, source_col, *([draw_col] if draw_col else [])), "source_mix")
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = scratch.table(docs.select(quoted(id_col).cast("long").alias("id"), quoted(source_col).cast("string").alias("source"), word_count(quoted(text_col)).alias("size")), "sized")
+    sized = scratch.table(docs.select(quoted(id_col).cast("long").alias("id"), quoted(source_col).cast("string").alias("source"), word_count(quoted(text_col)).alias("size"), quoted(draw_col or id_col).cast("long").alias("draw")), "sized")
     sums = {r["source"]: (int(r["size"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({s: x[0] for s, x in sums.items()}, weights, share, cap)
     order = sorted(sums, key=lambda s: (s is None, s or ""))
@@ -164,22 +166,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         plan.append((s, number, sums[s][0], float(goal[s]), base, min(1.0, max(0.0, ratio - base)), max(1, -(-sums[s][1] // CHUNK))))
     fields = T.StructType([T.StructField("s", T.StringType()), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("base", T.IntegerType()), T.StructField("prob", T.DoubleType()), T.StructField("chunks", T.LongType())])
     plan_df = spark.createDataFrame(plan, fields)
-    rows = sized.join(plan_df.select("s", "number", "prob", "chunks"), F.col("source").eqNullSafe(F.col("s"))).select("id", "size", "number", "prob", "chunks")
+    rows = join_small(sized, plan_df.select("s", "number", "prob", "chunks"), "source", "s", len(plan)).select("id", "size", "number", "prob", "draw", "chunks")
     last, settled, level = all(p[-1] == 1 for p in plan), [], 0
     while True:
-        h = F.xxhash64("id", F.lit(seed + level))
+        h = F.xxhash64("draw", F.lit(seed + level))
         dealt = rows.withColumn("chunk", F.pmod(h, F.col("chunks"))).repartition("number", "chunk").sortWithinPartitions("number", "chunk", F.desc("size"), h, "id")
         flown = scratch.table(dealt.select(*FLYING.names).mapInArrow(_fly(seed, level, last), FLYING), f"level-{level}")
         settled.append(flown.where("prob = 0 OR prob = 1"))
         if last:
             break
-        rest = flown.where("prob > 0 AND prob < 1").select("id", "size", "number", "prob")
+        rest = flown.where("prob > 0 AND prob < 1").select("id", "size", "number", "prob", "draw")
         left = rest.groupBy("number").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
         last = left.where("chunks > 1").limit(1).count() == 0
         rows, level = rest.join(left, "number"), level + 1
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    out = out.select("id", "size", "number", "prob").join(plan_df.drop("prob", "chunks"), "number")
+    out = join_small(out.select("id", "size", "number", "prob"), plan_df.drop("prob", "chunks").withColumnRenamed("number", "__number"), "number", "__number", len(plan))
     copies = (F.col("base") + F.col("prob")).cast("int")
     return out.select(F.col("id").alias(id_col), F.col("s").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
