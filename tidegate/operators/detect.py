@@ -45,18 +45,31 @@ def score_rows(posterior: DataFrame, d: K.Detector) -> DataFrame:
 ALARMS = f"{SERIES} string, t bigint, ts timestamp_ntz, score double, ready boolean, alarm boolean, dominant int, dominant_before int"
 
 
+def _steps(pdf: pd.DataFrame, d: K.Detector, f: K.Filtered) -> dict:
+    got = K.detect(d, f)
+    before = pd.Series([None] * len(pdf) if d.kind == "surprise" else [None, *got["dominant"][:-1].tolist()], dtype="Int32")
+    return {SERIES: pdf[SERIES], "t": pdf["t"], "ts": pdf["ts"], "score": got["score"], "ready": got["ready"], "alarm": got["alarm"], "dominant": got["dominant"].astype("int32"), "dominant_before": before}
+
+
+def online_run(obs: DataFrame, p: K.Params, d: K.Detector) -> DataFrame:
+    """A frozen model and a detector over rows (series_id, t, ts, y) in one pass: the columns of alarms(), and y, filtered and log_c."""
+    p.check(), d.check()
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        f = K.forward_filter(p, pdf["y"].to_numpy(float), True)
+        return pd.DataFrame({**_steps(pdf, d, f), "y": pdf["y"], "filtered": list(f.filtered), "log_c": f.log_c})
+
+    return obs.select(SERIES, "t", "ts", "y").groupBy(SERIES).applyInPandas(body, f"{ALARMS}, y double, filtered array<double>, log_c double")
+
+
 def alarms(posterior: DataFrame, d: K.Detector) -> DataFrame:
     """Every step of a detector: (series_id, t, ts, score, ready, alarm, dominant, dominant_before); a surprise has no regime before."""
     d.check()
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", ignore_index=True)
-        f = K.Filtered(np.empty(0), np.array(pdf["filtered"].tolist(), float), pdf["log_c"].to_numpy(float))
-        got = K.detect(d, f)
-        before = pd.Series([None, *got["dominant"][:-1].tolist()], dtype="Int32")
-        if d.kind == "surprise":
-            before = pd.Series([None] * len(pdf), dtype="Int32")
-        return pd.DataFrame({SERIES: pdf[SERIES], "t": pdf["t"], "ts": pdf["ts"], "score": got["score"], "ready": got["ready"], "alarm": got["alarm"], "dominant": got["dominant"].astype("int32"), "dominant_before": before})
+        return pd.DataFrame(_steps(pdf, d, K.Filtered(np.empty(0), np.array(pdf["filtered"].tolist(), float), pdf["log_c"].to_numpy(float))))
 
     return posterior.select(SERIES, "t", "ts", "filtered", "log_c").groupBy(SERIES).applyInPandas(body, ALARMS)
 

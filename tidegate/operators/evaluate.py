@@ -44,26 +44,28 @@ def metric_suite(matches: DataFrame, alarms: DataFrame, lengths: DataFrame) -> D
 def as_of(points: DataFrame, bars: DataFrame, forward: bool = True) -> DataFrame:
     """points (series_id, at, ...) with `index`: the t of the first bar at or after `at`, or of the last one at or before it; null if there is none.
 
-    Points and bars are sorted together once, so the cost is linear in both, however many points there are."""
+    Points and bars are sorted together once, and the frame grows from the sort's start in both directions, so the cost after the sort is linear
+    in both, however many points there are."""
     both = points.withColumns({"__at": F.col("at"), "__t": F.lit(None).cast("long")}).unionByName(bars.select(SERIES, F.col("ts").alias("__at"), F.col("t").cast("long").alias("__t")), allowMissingColumns=True)
-    bar = F.col("__t").isNotNull().cast("int")
-    # At one timestamp a bar must stand on the side that the point looks to.
-    w = Window.partitionBy(SERIES).orderBy("__at", bar if forward else -bar)
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    found = F.first("__t", ignorenulls=True).over(w) if forward else F.last("__t", ignorenulls=True).over(w)
-    # A point at the head of a forward frame is followed by bars in order, so the first of them has the least t.
-    return both.withColumn("index", found).where("__t IS NULL").drop("__at", "__t")
+    # Looking forward, time runs down. A bar comes before a point at its timestamp, and of several bars there the one last that is nearest in t.
+    order = (F.desc("__at"), F.desc_nulls_last("__t")) if forward else (F.asc("__at"), F.asc_nulls_last("__t"))
+    w = Window.partitionBy(SERIES).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("index", F.last("__t", ignorenulls=True).over(w)).where("__t IS NULL").drop("__at", "__t")
 
 
 def event_windows(events: DataFrame, bars: DataFrame, pre: int = 3, post: int = 3, causal: bool = False) -> DataFrame:
     """Events (series_id, id, kind 'point' or 'window', start, end) with left, right and reference, as t; null where the series has no such bar.
 
     A point stands at the first bar at or after it and reaches from pre bars before (none if causal) to post behind, within the series;
-    a window reaches from the first bar in it to the last bar at or before its end."""
-    n = bars.groupBy(SERIES).agg(F.max("t").cast("long").alias("n"))
-    first = as_of(events.withColumn("at", F.col("start")), bars, True).withColumnRenamed("index", "first").drop("at")
-    last = as_of(first.withColumn("at", F.coalesce("end", "start")), bars, False).withColumnRenamed("index", "last").drop("at")
-    rows = last.join(n, SERIES, "left")
+    a window reaches from the first bar in it to the last bar at or before its end. Both ends are looked up in one sort of the bars, as as_of() does."""
+    ends = F.array(F.struct(F.lit(True).alias("head"), F.col("start").alias("at")), F.struct(F.lit(False).alias("head"), F.coalesce("end", "start").alias("at")))
+    numbered = events.select(SERIES, "id", "kind", "start", "end", F.monotonically_increasing_id().alias("__e"))
+    marks = numbered.select(SERIES, "id", "kind", "__e", F.explode(ends).alias("m")).select(SERIES, "id", "kind", "__e", "m.head", F.col("m.at").alias("at"))
+    both = marks.withColumn("__t", F.lit(None).cast("long")).unionByName(bars.select(SERIES, F.col("ts").alias("at"), F.col("t").cast("long").alias("__t")), allowMissingColumns=True)
+    part = Window.partitionBy(SERIES)
+    look = lambda *order: F.last("__t", ignorenulls=True).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumns({"f": look(F.desc("at"), F.desc_nulls_last("__t")), "l": look(F.asc("at"), F.asc_nulls_last("__t")), "n": F.max("__t").over(part)}).where("__e IS NOT NULL")
+    rows = found.groupBy(SERIES, "__e").agg(F.first("id").alias("id"), F.first("kind").alias("kind"), F.first("n").alias("n"), F.max(F.when(F.col("head"), F.col("f"))).alias("first"), F.max(F.when(~F.col("head"), F.col("l"))).alias("last"))
     point = F.col("kind") == "point"
     left = F.when(point, F.greatest(F.col("first") - (0 if causal else pre), F.lit(1))).otherwise(F.col("first"))
     right = F.when(point, F.least(F.col("first") + post, F.col("n"))).otherwise(F.col("last"))
@@ -72,39 +74,50 @@ def event_windows(events: DataFrame, bars: DataFrame, pre: int = 3, post: int =
 
 
 def align(windows: DataFrame, alarms: DataFrame) -> DataFrame:
-    """(series_id, id, n_matched, first_alarm, first_delay): alarms inside each event's window, of the same series."""
-    a = alarms.select(SERIES, F.col("t").alias("alarm")).distinct()
-    hit = windows.join(a, SERIES).where("alarm BETWEEN left AND right").groupBy(SERIES, "id").agg(F.count("*").alias("n_matched"), F.min("alarm").alias("first_alarm"))
-    out = windows.join(hit, [SERIES, "id"], "left").fillna(0, ["n_matched"])
-    return out.select(SERIES, "id", "n_matched", "first_alarm", (F.col("first_alarm") - F.col("reference")).alias("first_delay"))
+    """(series_id, id, n_matched, first_alarm, first_delay): alarms inside each event's window, of the same series.
+
+    The number is a difference of running counts at the window's ends and the first one a lookup from its left end, so windows and alarms are
+    sorted together and never paired."""
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("at")), F.struct(F.lit(2).alias("side"), F.col("right").alias("at")))
+    numbered = windows.select(SERIES, "id", "reference", "left", "right", F.monotonically_increasing_id().alias("__w"))
+    marks = numbered.select(SERIES, "id", "reference", "__w", F.explode(ends).alias("m")).select(SERIES, "id", "reference", "__w", "m.side", "m.at")
+    both = marks.unionByName(alarms.select(SERIES, F.col("t").alias("at"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True)
+    part, frame = Window.partitionBy(SERIES), (Window.unboundedPreceding, 0)
+    alarm = F.when(F.col("side") == 1, F.col("at"))
+    rows = both.withColumns({"up_to": F.count(alarm).over(part.orderBy("at", "side").rowsBetween(*frame)), "next": F.last(alarm, ignorenulls=True).over(part.orderBy(F.desc("at"), F.desc("side")).rowsBetween(*frame))}).where("__w IS NOT NULL")
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    out = rows.groupBy(SERIES, "__w").agg(F.first("id").alias("id"), F.first("reference").alias("reference"), (at(2, "up_to") - at(0, "up_to")).alias("n"), at(0, "next").alias("next"), F.count("at").alias("ends"))
+    matched = F.when(F.col("ends") == 2, F.greatest(F.col("n"), F.lit(0))).otherwise(0).cast("long")
+    first = F.when(matched > 0, F.col("next"))
+    return out.select(SERIES, "id", matched.alias("n_matched"), first.alias("first_alarm"), (first - F.col("reference")).alias("first_delay"))
+
+
+def covered(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows (series_id, t, ...) with `inside`: whether t is in any of the windows. One sweep over rows and the windows' ends counts the open ones."""
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("at"), F.lit(1).alias("d")), F.struct(F.lit(2).alias("side"), F.col("right").alias("at"), F.lit(-1).alias("d")))
+    marks = windows.where("left IS NOT NULL AND left <= right").select(SERIES, F.explode(ends).alias("m")).select(SERIES, F.col("m.side").alias("__side"), F.col("m.at").alias("__at"), F.col("m.d").alias("__d"))
+    both = rows.withColumns({"__side": F.lit(1), "__at": F.col("t"), "__d": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(SERIES).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("inside", F.sum("__d").over(w) > 0).where("__side = 1").drop("__side", "__at", "__d")
 
 
 def in_windows(rows: DataFrame, windows: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows (series_id, t) in, or outside, the union of the windows. Overlapping windows are merged first, so each row meets one at most."""
-    w = windows.where("left IS NOT NULL AND left <= right").select(SERIES, "left", "right")
-    order = Window.partitionBy(SERIES).orderBy("left", "right")
-    reach = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = w.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("left")).cast("int"))
-    parts = parts.withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(SERIES, "g").agg(F.min("left").alias("left"), F.max("right").alias("right"))
-    parts = parts.withColumnRenamed(SERIES, "__s")
-    cond = (F.col(SERIES) == F.col("__s")) & F.col("t").between(F.col("left"), F.col("right"))
-    return rows.join(parts, cond, "left_semi" if inside else "left_anti")
+    """Rows (series_id, t, ...) in, or outside, the union of the windows."""
+    return covered(rows, windows).where(F.col("inside") == inside).drop("inside")
 
 
 def route_a(bars: DataFrame, alarms: DataFrame, events: DataFrame, pre: int = 3, post: int = 3, causal: bool = False) -> DataFrame:
     """One row a series: n_events, n_alarms, n_events_covered, n_alarms_aligned, event_coverage, alarm_relevance, delays and densities in and outside windows."""
-    lengths = bars.groupBy(SERIES).agg(F.count("*").alias("n"))
-    good = alarms.join(lengths, SERIES).where("t BETWEEN 1 AND n").select(SERIES, "t").distinct()
     windows = event_windows(events, bars, pre, post, causal)
-    al = align(windows, good)
-    per = al.groupBy(SERIES).agg(
+    per = align(windows, alarms).groupBy(SERIES).agg(
         F.count("*").alias("n_events"), F.sum((F.col("n_matched") > 0).cast("long")).alias("n_events_covered"), F.avg("first_delay").alias("mean_delay_bars"),
         F.percentile("first_delay", F.lit(0.5)).alias("median_delay_bars"), F.min("first_delay").alias("min_delay_bars"), F.max("first_delay").alias("max_delay_bars"),
     )
-    inside = in_windows(bars.select(SERIES, "t"), windows).groupBy(SERIES).agg(F.count("*").alias("in_bars"))
-    hits = in_windows(good, windows).groupBy(SERIES).agg(F.count("*").alias("n_alarms_aligned"))
-    total = good.groupBy(SERIES).agg(F.count("*").alias("n_alarms"))
-    rows = lengths.join(per, SERIES, "left").join(inside, SERIES, "left").join(hits, SERIES, "left").join(total, SERIES, "left").fillna(0, ["n_events", "n_events_covered", "in_bars", "n_alarms_aligned", "n_alarms"])
+    marks = bars.select(SERIES, "t").join(alarms.select(SERIES, "t").distinct().withColumn("alarm", F.lit(True)), [SERIES, "t"], "left")  # alarms off the bars don't count
+    count = lambda c: F.count(F.when(c, 1))
+    inside, alarm = F.col("inside"), F.col("alarm").isNotNull()
+    rows = covered(marks, windows).groupBy(SERIES).agg(F.count("*").alias("n"), count(alarm).alias("n_alarms"), count(inside).alias("in_bars"), count(inside & alarm).alias("n_alarms_aligned"))
+    rows = rows.join(per, SERIES, "left").fillna(0, ["n_events", "n_events_covered"])
     return rows.select(
         SERIES, "n_events", "n_alarms", "n_events_covered", "n_alarms_aligned",
         ratio("n_events_covered", "n_events", nan()).alias("event_coverage"), ratio("n_alarms_aligned", "n_alarms", nan()).alias("alarm_relevance"),

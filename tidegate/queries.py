@@ -430,6 +430,11 @@ def smoother(spark, sf_dir):
     return neat(hmm.smooth_rows(obs(spark, sf_dir), MODEL).select(SERIES, "t", *two("smoothed", "g")))
 
 
+@query("blocked_smoother", ORACLE_SQL["smoother"])
+def blocked_smoother(spark, sf_dir):
+    return neat(scan.blocked_smoother(obs(spark, sf_dir), MODEL, 512).select(SERIES, "t", *two("smoothed", "g")))
+
+
 @query("pairwise", f"{SMOOTH} SELECT series_id, t, {', '.join(f'{R(f'x{i}{j}')} AS x{i}{j}' for i in range(2) for j in range(2))} FROM xi")
 def pairwise(spark, sf_dir):
     xi = hmm.pairwise(hmm.smooth_rows(obs(spark, sf_dir), MODEL), MODEL.transition)
@@ -460,10 +465,62 @@ def em_one_step(spark, sf_dir):
     return neat(out)
 
 
+@query("blocked_em_step", EM_STEP)
+def blocked_em_step(spark, sf_dir):
+    """em_one_step in blocks of 700 rows, several for each series."""
+    s = scan.blocked_em_step(obs(spark, sf_dir), MODEL, 700)
+    out = s.select(SERIES, F.col("pi")[0].alias("pi0"), F.col("transition")[0][0].alias("p00"), F.col("transition")[1][1].alias("p11"), F.col("means")[0].alias("m0"), F.col("means")[1].alias("m1"), F.col("variances")[0].alias("v0"), F.col("variances")[1].alias("v1"), F.round("log_likelihood", 4).alias("log_likelihood"))
+    return neat(out)
+
+
 def fits(spark: SparkSession, sf_dir: str, n_starts: int = 1, jitter: float = 0.0) -> DataFrame:
     return hmm.fit_em(obs(spark, sf_dir), 2, n_starts=n_starts, jitter=jitter)
 
 
+def em_iteration_sql(i: int) -> str:
+    """flt{i}, the filter of the parameters par{i} of each series, and par{i + 1}, the parameters after a step of EM."""
+    den = ", ".join(f"exp(-0.5 * (o.y - m{j}) * (o.y - m{j}) / v{j}) / sqrt(v{j}) AS d{j}" for j in (0, 1))
+    step = "SELECT series_id, t, y, q0, q1, q0 * d0 / (q0 * d0 + q1 * d1) AS f0, q1 * d1 / (q0 * d0 + q1 * d1) AS f1, ln(q0 * d0 + q1 * d1) - 0.9189385332046728 AS log_c FROM"
+    return f"""flt{i} AS (
+  {step} (SELECT o.series_id, o.t, o.y, pi0 AS q0, pi1 AS q1, {den} FROM obs o JOIN par{i} USING (series_id) WHERE o.t = 1)
+  UNION ALL
+  {step} (SELECT o.series_id, o.t, o.y, f.f0 * a00 + f.f1 * a10 AS q0, f.f0 * a01 + f.f1 * a11 AS q1, {den} FROM flt{i} f JOIN obs o ON o.series_id = f.series_id AND o.t = f.t + 1 JOIN par{i} p ON p.series_id = o.series_id)),
+nxt{i} AS (SELECT *, lead(q0) OVER {WT} AS n0, lead(q1) OVER {WT} AS n1, lag(f0) OVER {WT} AS b0, lag(f1) OVER {WT} AS b1, count(*) OVER (PARTITION BY series_id) AS n FROM flt{i}),
+smo{i} AS (
+  SELECT series_id, t, f0 AS g0, f1 AS g1 FROM nxt{i} WHERE t = n
+  UNION ALL
+  SELECT series_id, t, u0 / (u0 + u1), u1 / (u0 + u1) FROM (
+    SELECT x.series_id, x.t, x.f0 * (a00 * s.g0 / x.n0 + a01 * s.g1 / x.n1) AS u0, x.f1 * (a10 * s.g0 / x.n0 + a11 * s.g1 / x.n1) AS u1
+    FROM smo{i} s JOIN nxt{i} x ON x.series_id = s.series_id AND x.t = s.t - 1 JOIN par{i} p ON p.series_id = x.series_id)),
+sm{i} AS (SELECT x.*, g0, g1, a00, a01, a10, a11 FROM nxt{i} x JOIN smo{i} USING (series_id, t) JOIN par{i} USING (series_id)),
+w{i} AS (SELECT series_id, sum(g0) AS w0, sum(g1) AS w1, sum(g0 * y) / sum(g0) AS m0, sum(g1 * y) / sum(g1) AS m1, sum(g0) FILTER (t < n) AS l0, sum(g1) FILTER (t < n) AS l1, max(g0) FILTER (t = 1) AS pi0, max(g1) FILTER (t = 1) AS pi1,
+  {", ".join(f"sum(b{a} * a{a}{b} * g{b} / q{b}) FILTER (t > 1) AS s{a}{b}" for a in (0, 1) for b in (0, 1))} FROM sm{i} GROUP BY 1),
+v{i} AS (SELECT x.series_id, greatest(sum(g0 * (y - m0) * (y - m0)) / any_value(w0), 1e-6) AS v0, greatest(sum(g1 * (y - m1) * (y - m1)) / any_value(w1), 1e-6) AS v1 FROM sm{i} x JOIN w{i} USING (series_id) GROUP BY 1),
+par{i + 1} AS (SELECT series_id, pi0, pi1, s00 / (s00 + s01) AS a00, s01 / (s00 + s01) AS a01, s10 / (s10 + s11) AS a10, s11 / (s10 + s11) AS a11, m0, m1, v0, v1 FROM w{i} JOIN v{i} USING (series_id))"""
+
+
+def em_sql(iterations: int) -> str:
+    """Parameters after so many steps of EM from the starting values of two regimes, and the log-likelihoods on the way, as (series_id, i, ll) in hist."""
+    history = " UNION ALL ".join(f"SELECT series_id, {i} AS i, sum(log_c) AS ll FROM flt{i} GROUP BY 1" for i in range(iterations + 1))
+    return f"""WITH RECURSIVE {OBS}, half AS (SELECT series_id, y, least((row_number() OVER (PARTITION BY series_id ORDER BY y) - 1) // greatest(count(*) OVER (PARTITION BY series_id) // 2, 1), 1) AS j FROM obs),
+par0 AS (SELECT series_id, 0.5::DOUBLE AS pi0, 0.5::DOUBLE AS pi1, 0.9::DOUBLE AS a00, 0.1::DOUBLE AS a01, 0.1::DOUBLE AS a10, 0.9::DOUBLE AS a11, avg(y) FILTER (j = 0) AS m0, avg(y) FILTER (j = 1) AS m1, greatest(var_pop(y) FILTER (j = 0), 1e-6) AS v0, greatest(var_pop(y) FILTER (j = 1), 1e-6) AS v1 FROM half GROUP BY 1),
+{", ".join(em_iteration_sql(i) for i in range(iterations + 1))}, hist AS ({history})"""
+
+
+@query("em_iterations", f"{em_sql(3)} SELECT series_id, {', '.join(f'{R(a)} AS {b}' for a, b in (('pi0', 'pi0'), ('a00', 'p00'), ('a11', 'p11'), ('m0', 'm0'), ('m1', 'm1'), ('v0', 'v0'), ('v1', 'v1')))}, {R('ll', 4)} AS log_likelihood FROM par3 JOIN hist USING (series_id) WHERE i = 3")
+def em_iterations(spark, sf_dir):
+    """The EM loop's first three steps from its own start; em_fit goes on until it converges."""
+    f = hmm.fit_em(obs(spark, sf_dir), 2, tol=0.0, max_iter=3)
+    m, v, tr = F.col("means"), F.col("variances"), F.col("transition")
+    return neat(f.select(SERIES, F.col("pi")[0].alias("pi0"), tr[0][0].alias("p00"), tr[1][1].alias("p11"), m[0].alias("m0"), m[1].alias("m1"), v[0].alias("v0"), v[1].alias("v1"), F.round("log_likelihood", 4).alias("log_likelihood")))
+
+
+@query("em_history", f"{em_sql(3)}, d AS (SELECT series_id, i, ll, ll - lag(ll) OVER (PARTITION BY series_id ORDER BY i) AS d FROM hist) SELECT series_id, 0::BIGINT AS start, {R('max(ll) FILTER (i = 3) - max(ll) FILTER (i = 0)', 4)} AS gain, {R('min(d)', 4)} AS min_delta, {R('greatest(-min(d), 0.0)', 4)} AS largest_drop, min(d) >= -1e-8 AS monotone FROM d GROUP BY 1")
+def em_history(spark, sf_dir):
+    """The convergence summary of the same three steps."""
+    return neat(hmm.convergence(hmm.fit_em(obs(spark, sf_dir), 2, tol=0.0, max_iter=3)), 4)
+
+
 @query("em_fit")
 def em_fit(spark, sf_dir):
     return hmm.by_mean(fits(spark, sf_dir)).select(SERIES, "k", "pi", "transition", "means", "variances", "log_likelihood", "n_iter", "converged")
@@ -484,7 +541,8 @@ def param_validity(spark, sf_dir):
     return hmm.param_validity(fits(spark, sf_dir))
 
 
-@query("posterior_validity", f"{SMOOTH} SELECT series_id, 0.0::DOUBLE AS max_filtered_dev, 0.0::DOUBLE AS max_smoothed_dev, 0.0::DOUBLE AS max_xi_dev, 0.0::DOUBLE AS max_marginal_dev FROM sm GROUP BY 1")
+@query("posterior_validity", f"""{SMOOTH}, z AS (SELECT sm.series_id, abs(f0 + f1 - 1) AS df, abs(g0 + g1 - 1) AS dg, abs(x00 + x01 + x10 + x11 - 1) AS dx, greatest(abs(x00 + x10 - g0), abs(x01 + x11 - g1)) AS dm FROM sm LEFT JOIN xi ON xi.series_id = sm.series_id AND xi.t = sm.t)
+SELECT series_id, {R('max(df)')} AS max_filtered_dev, {R('max(dg)')} AS max_smoothed_dev, {R('max(dx)')} AS max_xi_dev, {R('max(dm)')} AS max_marginal_dev FROM z GROUP BY 1""")
 def posterior_validity(spark, sf_dir):
     s = hmm.smooth_rows(obs(spark, sf_dir), MODEL)
     return neat(hmm.posterior_validity(s, hmm.pairwise(s, MODEL.transition)))
@@ -546,6 +604,16 @@ def alarms_persistence(spark, sf_dir):
     return neat(detect.alarms(model_rows(spark, sf_dir), DET))
 
 
+@query("blocked_alarms", ORACLE_SQL["alarms_persistence"])
+def blocked_alarms(spark, sf_dir):
+    return neat(scan.blocked_alarms(model_rows(spark, sf_dir), DET, 700))
+
+
+@query("blocked_alarms_ema", ORACLE_SQL["det_surprise_ema"])
+def blocked_alarms_ema(spark, sf_dir):
+    return neat(scan.blocked_alarms(model_rows(spark, sf_dir), K.Detector("surprise", 2.0, 1, 3, 0.3), 700).select(SERIES, "t", "score", "ready", "alarm"))
+
+
 @query("persistence_fold", f"{scored_sql('leave_previous')}, {persist_sql('score >= 0.3', 2, 3, 'scored')} SELECT series_id, count(*) FILTER (alarm)::BIGINT AS n_alarms, max(t) FILTER (alarm) AS last_alarm FROM per GROUP BY 1")
 def persistence_fold(spark, sf_dir):
     return detect.persistence(detect.score_rows(model_rows(spark, sf_dir), K.Detector("leave_previous", 0.3)), 2, 3)
@@ -599,14 +667,13 @@ def metric_suite(spark, sf_dir):
     return neat(evaluate.metric_suite(evaluate.match_events(eval_truth(bars), alarms, 20), alarms, lengths))
 
 
-POINTS = "pts AS (SELECT e.event_type AS series_id, o.o_orderkey AS id, TIMESTAMP '2023-12-31 00:00:00' + to_minutes(o.o_orderkey % 46000) AS at FROM (SELECT DISTINCT event_type FROM events) e, orders o WHERE o.o_orderkey % 5 = 0)"
+POINTS = "pts AS (SELECT e.event_type AS series_id, o.o_orderkey AS id, TIMESTAMP '2023-12-31 00:00:00' + to_minutes(o.o_orderkey % 46000) AS at FROM (SELECT DISTINCT event_type FROM events) e, orders o)"
 
 
 def as_of_points(spark, sf_dir) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("long").alias("id"))
-    names = intraday(spark, sf_dir).select(SERIES).distinct()
-    per = names.groupBy().agg(F.collect_list(SERIES).alias("s"))  # five event types
-    rows = keys.join(F.broadcast(per)).select("id", F.explode("s").alias(SERIES))
+    """Every order looked up in every series, of which there are a handful."""
+    names = sorted(r[0] for r in intraday(spark, sf_dir).select(SERIES).distinct().collect())
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.explode(F.array(*map(F.lit, names))).alias(SERIES))
     return rows.withColumn("at", F.expr("timestamp_ntz'2023-12-31 00:00:00' + make_dt_interval(0, 0, cast(id % 46000 as int))"))
 
 
@@ -637,13 +704,17 @@ def event_windows(spark, sf_dir):
     return evaluate.event_windows(eval_events(spark, sf_dir), eval_bars(spark, sf_dir), 10, 20)
 
 
-@query("route_a", f"""WITH {BARS}, {EVAL_ALARMS}, {EVENTS_SQL}, {WINDOWS_SQL},
+def route_a_sql(r=R) -> str:
+    return f"""WITH {BARS}, {EVAL_ALARMS}, {EVENTS_SQL}, {WINDOWS_SQL},
 inb AS (SELECT series_id, count(*) AS ib FROM bars b WHERE EXISTS (SELECT 1 FROM win w WHERE w.series_id = b.series_id AND b.t BETWEEN l AND u) GROUP BY 1),
 ina AS (SELECT series_id, count(*) AS ia FROM alarms b WHERE EXISTS (SELECT 1 FROM win w WHERE w.series_id = b.series_id AND b.t BETWEEN l AND u) GROUP BY 1),
 na AS (SELECT series_id, count(*) AS na FROM alarms GROUP BY 1), nb AS (SELECT series_id, count(*) AS nb FROM bars GROUP BY 1),
 e AS (SELECT series_id, count(*) AS ne, sum((nm > 0)::INT)::BIGINT AS nc, avg(d) AS md, quantile_cont(d, 0.5) AS dd, min(d) AS lo, max(d) AS hi FROM al GROUP BY 1),
 z AS (SELECT series_id, ne, na, nc, coalesce(ia, 0) AS ia, coalesce(ib, 0) AS ib, nb, md, dd, lo, hi FROM e JOIN na USING (series_id) JOIN nb USING (series_id) LEFT JOIN ina USING (series_id) LEFT JOIN inb USING (series_id))
-SELECT series_id, ne AS n_events, na AS n_alarms, nc AS n_events_covered, ia AS n_alarms_aligned, {R('nc / ne')} AS event_coverage, {R('ia / na')} AS alarm_relevance, {R('md')} AS mean_delay_bars, {R('dd')} AS median_delay_bars, lo AS min_delay_bars, hi AS max_delay_bars, {R('ia / ib')} AS alarm_density_in, {R('(na - ia) / (nb - ib)')} AS alarm_density_out FROM z""")
+SELECT series_id, ne AS n_events, na AS n_alarms, nc AS n_events_covered, ia AS n_alarms_aligned, {r('nc / ne')} AS event_coverage, {r('ia / na')} AS alarm_relevance, {r('md')} AS mean_delay_bars, {r('dd')} AS median_delay_bars, lo AS min_delay_bars, hi AS max_delay_bars, {r('ia / ib')} AS alarm_density_in, {r('(na - ia) / (nb - ib)')} AS alarm_density_out FROM z"""
+
+
+@query("route_a", route_a_sql())
 def route_a(spark, sf_dir):
     bars = eval_bars(spark, sf_dir)
     return neat(evaluate.route_a(bars, eval_alarms(bars), eval_events(spark, sf_dir), 10, 20))
@@ -697,13 +768,25 @@ def segment_contrast(spark, sf_dir):
     return neat(evaluate.adjacent_contrasts(evaluate.segment_summary(eval_segments(spark, sf_dir))))
 
 
-@query("route_b_global", f"WITH {CONTRAST}, a AS (SELECT series_id, count(*) AS ns, sum(is_short::INT)::BIGINT AS sh, avg(n) AS ml, avg(variance) AS v FROM ss GROUP BY 1), b AS (SELECT series_id, avg(abs(dm)) AS dm, avg(abs(dv)) AS dv FROM ct GROUP BY 1) SELECT series_id, ns AS n_segments, sh AS n_short_segments, {R('ml')} AS mean_segment_len, {R('v')} AS mean_within_variance, {R('dm')} AS mean_abs_delta_mean, {R('dv')} AS mean_abs_delta_variance, {R('dm / sqrt(v)')} AS coherence FROM a JOIN b USING (series_id)")
+def route_b_sql(r=R) -> str:
+    return f"WITH {CONTRAST}, a AS (SELECT series_id, count(*) AS ns, sum(is_short::INT)::BIGINT AS sh, avg(n) AS ml, avg(variance) AS v FROM ss GROUP BY 1), b AS (SELECT series_id, avg(abs(dm)) AS dm, avg(abs(dv)) AS dv FROM ct GROUP BY 1) SELECT series_id, ns AS n_segments, sh AS n_short_segments, {r('ml')} AS mean_segment_len, {r('v')} AS mean_within_variance, {r('dm')} AS mean_abs_delta_mean, {r('dv')} AS mean_abs_delta_variance, {r('dm / sqrt(v)')} AS coherence FROM a JOIN b USING (series_id)"
+
+
+@query("route_b_global", route_b_sql())
 def route_b_global(spark, sf_dir):
     bars = eval_bars(spark, sf_dir)
     return neat(evaluate.route_b(bars.select(SERIES, "t", F.col("value").alias("y")), eval_alarms(bars)))
 
 
-@query("real_evaluation")
+def exact(x: str, digits: int = 6) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+_WHOLE = ("n_events", "n_alarms", "n_events_covered", "n_alarms_aligned", "min_delay_bars", "max_delay_bars", "n_segments", "n_short_segments")
+_SHARES = ("event_coverage", "alarm_relevance", "mean_delay_bars", "median_delay_bars", "alarm_density_in", "alarm_density_out", "mean_segment_len", "mean_within_variance", "mean_abs_delta_mean", "mean_abs_delta_variance", "coherence")
+
+
+@query("real_evaluation", f"SELECT series_id, {', '.join(_WHOLE)}, {', '.join(f'{R(c)} AS {c}' for c in _SHARES)}, {R('(event_coverage + alarm_relevance + coherence) / 3')} AS score FROM ({route_a_sql(exact)}) JOIN ({route_b_sql(exact)}) USING (series_id)")
 def real_evaluation(spark, sf_dir):
     bars = eval_bars(spark, sf_dir).withColumnRenamed("value", "y")
     return neat(evaluate.real_evaluation(bars, eval_alarms(bars.withColumnRenamed("y", "value")), eval_events(spark, sf_dir), 10, 20))
@@ -765,11 +848,15 @@ def calibrated_quick_em(spark, sf_dir):
 HALVES = "real AS (SELECT series_id, count(*) AS n, avg(y) AS mean, var_pop(y) AS variance, stddev_pop(y) AS sd, quantile_cont(y, 0.05) AS q05, quantile_cont(y, 0.95) AS q95 FROM obs WHERE t % 2 = 0 GROUP BY 1), syn AS (SELECT series_id, avg(y) AS mean, var_pop(y) AS variance, stddev_pop(y) AS sd, quantile_cont(y, 0.05) AS q05, quantile_cont(y, 0.95) AS q95 FROM obs WHERE t % 2 = 1 GROUP BY 1)"
 
 
-@query("calibration_verify", f"WITH {OBS}, {HALVES}, f AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS field, r.{c} AS a, s.{c} AS b, {'abs(s.variance - r.variance) / greatest(abs(r.variance), 1e-12)' if c == 'variance' else f'abs(s.{c} - r.{c})'} AS e, {tol}::DOUBLE AS tol FROM real r JOIN syn s USING (series_id)" for c, tol in (("variance", 0.5), ("q05", 0.3), ("q95", 0.3))) + f") SELECT series_id, field, {R('a')} AS real, {R('b')} AS synthetic, {R('e')} AS error, tol AS tolerance, e <= tol AS ok FROM f")
+FIELDS = f"""fields AS (SELECT series_id, h, avg(y) AS mean, var_pop(y) AS variance, quantile_cont(y, 0.05) AS q05, quantile_cont(y, 0.95) AS q95, sum(e * en) / sum(e * e) AS abs_acf1, sum((y * p < 0)::INT) / sum((y * p <> 0)::INT) AS sign_change_rate
+  FROM (SELECT *, lead(e) OVER hw AS en, lag(y) OVER hw AS p FROM (SELECT series_id, t, t % 2 AS h, y, abs(y) - avg(abs(y)) OVER (PARTITION BY series_id, t % 2) AS e FROM obs) WINDOW hw AS (PARTITION BY series_id, h ORDER BY t)) GROUP BY 1, 2)"""
+
+
+@query("calibration_verify", f"WITH {OBS}, {FIELDS}, f AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS field, r.{c} AS a, s.{c} AS b, {'abs(s.variance - r.variance) / greatest(abs(r.variance), 1e-12)' if c == 'variance' else f'abs(s.{c} - r.{c})'} AS e, {tol}::DOUBLE AS tol FROM (FROM fields WHERE h = 0) r JOIN (FROM fields WHERE h = 1) s USING (series_id)" for c, tol in (("mean", 0.25), ("variance", 0.5), ("q05", 0.3), ("q95", 0.3), ("abs_acf1", 0.2), ("sign_change_rate", 0.2))) + f") SELECT series_id, field, {R('a')} AS real, {R('b')} AS synthetic, {R('e')} AS error, tol AS tolerance, e <= tol AS ok FROM f")
 def calibration_verify(spark, sf_dir):
     rows = obs(spark, sf_dir)
     real, syn = (calibrate.empirical_summary(rows.where(F.col("t") % 2 == i)) for i in (0, 1))
-    return neat(calibrate.verify(real, syn, calibrate.Mapping(strategy="quick_em")).where("field <> 'mean'"))
+    return neat(calibrate.verify(real, syn))
 
 
 @query("scale_check", f"WITH {OBS}, {HALVES} SELECT series_id, {R('r.sd')} AS real_std, {R('s.sd')} AS synthetic_std, {R('abs(s.sd - r.sd) / r.sd')} AS relative_error, abs(s.sd - r.sd) / r.sd <= 0.10 AS ok FROM real r JOIN syn s USING (series_id)")
@@ -789,12 +876,27 @@ def grid_rows(spark, sf_dir) -> DataFrame:
     return search.rank(search.score_synthetic(search.alarm_grid(rows, "hard_switch", search.REAL_GRIDS["hard_switch"]), rows.where("t % 37 = 5").select(SERIES, "t"), 20))
 
 
-@query("grid_search")
+GRID_POINTS = "pts AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS point, x::DOUBLE AS thr, y::BIGINT AS req, z::BIGINT AS cd FROM (SELECT unnest([0.3, 0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8]) AS x, unnest(range(8)) AS a), (SELECT unnest([1, 2, 3, 5]) AS y, unnest(range(4)) AS b), (SELECT unnest([0, 3, 5, 10]) AS z, unnest(range(4)) AS c))"
+#: Change points are 37 steps apart and windows 20 long, so an alarm belongs to one change point at most, and any alarm in its window finds it.
+GRID = f"""{DETECT}, {GRID_POINTS}, st AS (SELECT series_id, t, t > 1 AS ready, coalesce(top <> top_before, false) AS moved, greatest(f0, f1) AS share FROM top),
+per AS (
+  SELECT series_id, point, thr, req, cd, 0::BIGINT AS t, 0::BIGINT AS c, 0::BIGINT AS rest, false AS alarm FROM (SELECT DISTINCT series_id FROM st), pts
+  UNION ALL
+  SELECT series_id, point, thr, req, cd, t, CASE WHEN NOT ready THEN c WHEN rest > 0 OR NOT cr OR c + 1 >= req THEN 0 ELSE c + 1 END,
+    CASE WHEN NOT ready THEN rest WHEN rest > 0 THEN rest - 1 WHEN cr AND c + 1 >= req THEN cd ELSE 0 END, ready AND rest = 0 AND cr AND c + 1 >= req
+  FROM (SELECT p.series_id, point, thr, req, cd, s.t, ready, moved AND share >= thr AS cr, c, rest FROM per p JOIN st s ON s.series_id = p.series_id AND s.t = p.t + 1)),
+hit AS (SELECT series_id, point, thr, req, cd, max(t) AS n, count(*) FILTER (alarm) AS n_alarms, count(DISTINCT (t - 5) // 37) FILTER (alarm AND t >= 5 AND (t - 5) % 37 < 20) AS hits, count(*) FILTER (t % 37 = 5) AS events FROM per GROUP BY ALL),
+sco AS (SELECT *, hits / events AS coverage, CASE WHEN n_alarms > 0 THEN hits / n_alarms ELSE 0.0::DOUBLE END AS precision FROM hit),
+ranked AS (SELECT *, 0.5::DOUBLE * coverage + 0.5::DOUBLE * precision AS score, row_number() OVER (PARTITION BY series_id ORDER BY 0.5::DOUBLE * coverage + 0.5::DOUBLE * precision DESC, point) AS rank FROM sco)
+SELECT series_id, point, thr AS threshold, req AS required, cd AS cooldown, n, n_alarms, {R('coverage')} AS coverage, {R('precision')} AS precision, {R('score')} AS score, rank FROM ranked"""
+
+
+@query("grid_search", GRID)
 def grid_search(spark, sf_dir):
     return neat(grid_rows(spark, sf_dir).drop("alarms"))
 
 
-@query("top_n")
+@query("top_n", f"{GRID} WHERE rank <= 10")
 def top_n(spark, sf_dir):
     return neat(search.top(grid_rows(spark, sf_dir)).drop("alarms"))
 
@@ -827,7 +929,7 @@ def decode_equity(spark, sf_dir):
     return vendor.decode_equity(table(spark, sf_dir, "orders").select(F.lit("spy").alias("symbol"), F.lit("daily").alias("interval"), F.expr(EQUITY).alias("payload")))
 
 
-@query("instruments", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x[0]}', {len(vendor.supported(k))}::BIGINT)" for k, x in vendor.INSTRUMENTS.items()) + ") AS t(symbol, kind, n_intervals)")
+@query("instruments", "SELECT symbol, kind, n::BIGINT AS n_intervals FROM (VALUES ('wti', 'standard', 3), ('brent', 'standard', 3), ('natural_gas', 'standard', 3), ('copper', 'standard', 3), ('aluminum', 'standard', 3), ('wheat', 'standard', 3), ('corn', 'standard', 3), ('cotton', 'standard', 3), ('sugar', 'standard', 3), ('coffee', 'standard', 3), ('all_commodities', 'standard', 3), ('gold', 'metal', 3), ('silver', 'metal', 3), ('spy', 'equity', 8), ('qqq', 'equity', 8)) AS t(symbol, kind, n)")
 def instruments(spark, sf_dir):
     rows = [(vendor.instrument(k.upper().replace("_", "-")), x[0], len(vendor.supported(k))) for k, x in vendor.INSTRUMENTS.items()]
     return spark.createDataFrame(rows, "symbol string, kind string, n_intervals bigint")
@@ -861,7 +963,7 @@ def comparison_table(spark, sf_dir):
     return neat(evaluate.comparison_table([even, odd]))
 
 
-@query("scenarios", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {j}::BIGINT, {p.means[j]!r}::DOUBLE, {p.variances[j]!r}::DOUBLE, {p.transition[j][j]!r}::DOUBLE)" for n, p in hmm.SCENARIOS.items() for j in range(p.k)).replace("np.float64(", "").replace(")::DOUBLE", "::DOUBLE") + ") AS t(scenario, regime, mean, variance, stay)")
+@query("scenarios", "SELECT scenario, regime::BIGINT AS regime, mean::DOUBLE AS mean, variance::DOUBLE AS variance, stay::DOUBLE AS stay FROM (VALUES ('scenario_calibrated', 0, 0.0002, 0.0001, 0.96), ('scenario_calibrated', 1, -0.0001, 0.0004, 0.88), ('persistent_states', 0, 0.0001, 0.00008, 0.975), ('persistent_states', 1, -0.0001, 0.00032, 0.933), ('shock_contaminated', 0, 0.0002, 0.0001, 0.96), ('shock_contaminated', 1, -0.0005, 0.0016, 0.88), ('three_regimes', 0, 0.0003, 0.00009, 0.971), ('three_regimes', 1, 0.0, 0.00018, 0.930), ('three_regimes', 2, -0.0002, 0.0004, 0.857)) AS t(scenario, regime, mean, variance, stay)")
 def scenarios(spark, sf_dir):
     rows = [(n, j, float(p.means[j]), float(p.variances[j]), float(p.transition[j][j])) for n, p in hmm.SCENARIOS.items() for j in range(p.k)]
     return spark.createDataFrame(rows, "scenario string, regime bigint, mean double, variance double, stay double")
@@ -872,12 +974,20 @@ def model_grid(spark, sf_dir):
     return spark.createDataFrame([(k, f.family, f.window) for k, f in search.model_grid()], "k bigint, family string, window bigint")
 
 
-@query("registered_experiments")
+@query("registered_experiments", "SELECT label, mode, detector, threshold::DOUBLE AS threshold, required::BIGINT AS required, cooldown::BIGINT AS cooldown FROM (VALUES ('hard_switch', 'synthetic', 'hard_switch', 0.5, 2, 5), ('posterior_transition', 'synthetic', 'leave_previous', 0.3, 2, 5), ('surprise', 'synthetic', 'surprise', 2.5, 2, 5), ('posterior_transition_tv', 'synthetic', 'total_variation', 0.3, 2, 5), ('hard_switch_shock', 'synthetic', 'hard_switch', 0.5, 2, 5), ('hard_switch_frozen', 'synthetic', 'hard_switch', 0.5, 2, 5), ('hard_switch_multi_start', 'synthetic', 'hard_switch', 0.5, 2, 5), ('surprise_ema', 'synthetic', 'surprise', 2.5, 2, 5), ('squared_return_surprise', 'synthetic', 'surprise', 2.5, 2, 5), ('real_spy_daily_hard_switch', 'real', 'hard_switch', 0.55, 2, 5), ('real_wti_daily_surprise', 'real', 'surprise', 3.0, 2, 10), ('real_spy_intraday_hard_switch', 'real', 'hard_switch', 0.55, 3, 10), ('simreal_spy_daily_hard_switch', 'sim_to_real', 'hard_switch', 0.55, 2, 5), ('simreal_spy_daily_abs_return_k3', 'sim_to_real', 'hard_switch', 0.55, 2, 5), ('simreal_wti_daily_abs_return_k3', 'sim_to_real', 'hard_switch', 0.55, 2, 5), ('simreal_gold_daily_abs_return_k3', 'sim_to_real', 'hard_switch', 0.55, 2, 5)) AS t(label, mode, detector, threshold, required, cooldown)")
 def registered_experiments(spark, sf_dir):
     from .plans.registry import registry
 
-    rows = [(e.label, e.mode, e.detector.kind, float(e.detector.threshold), e.detector.required, e.detector.cooldown, e.run_id()) for e in registry().values()]
-    return spark.createDataFrame(rows, "label string, mode string, detector string, threshold double, required bigint, cooldown bigint, run_id string")
+    rows = [(e.label, e.mode, e.detector.kind, float(e.detector.threshold), e.detector.required, e.detector.cooldown) for e in registry().values()]
+    return spark.createDataFrame(rows, "label string, mode string, detector string, threshold double, required bigint, cooldown bigint")
+
+
+@query("run_ids")
+def run_ids(spark, sf_dir):
+    """The names of the registered experiments' runs, which end in a hash of their configurations."""
+    from .plans.registry import registry
+
+    return spark.createDataFrame([(e.label, e.run_id()) for e in registry().values()], "label string, run_id string")
 
 
 @query("online_stream", f"{ALARMS} SELECT f.series_id, f.t, f.ts, {R('f0')} AS p0, {R('f1')} AS p1, {R('log_c')} AS log_c, score, ready, alarm FROM flt f JOIN scored s ON s.series_id = f.series_id AND s.t = f.t JOIN per p ON p.series_id = f.series_id AND p.t = f.t")
@@ -885,16 +995,19 @@ def online_stream(spark, sf_dir):
     """The flagship's steps by Structured Streaming, in several micro-batches."""
     from .streaming.online import replay
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidegate-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidegate-")
     rows = replay(obs(spark, sf_dir), MODEL, DET, f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}", 3)
     return neat(rows.select(SERIES, "t", "ts", *two("filtered", "p"), "log_c", "score", "ready", "alarm"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of the frozen model over the intraday series: probabilities, density, score and alarm."""
-    rows = model_rows(spark, sf_dir)
-    alarms = detect.alarms(rows, DET).select(SERIES, "t", "score", "alarm")
-    return rows.select(SERIES, "t", "ts", *two("filtered", "p"), "log_c").join(alarms, [SERIES, "t"])
+    rows = detect.online_run(obs(spark, sf_dir), MODEL, DET)
+    return rows.select(SERIES, "t", "ts", *two("filtered", "p"), "log_c", "score", "alarm")
 
 
 query("flagship", f"{ALARMS} SELECT f.series_id, f.t, f.ts, {R('f0')} AS p0, {R('f1')} AS p1, {R('log_c')} AS log_c, score, alarm FROM flt f JOIN scored s ON s.series_id = f.series_id AND s.t = f.t JOIN per p ON p.series_id = f.series_id AND p.t = f.t")(lambda spark, sf_dir: neat(flagship(spark, sf_dir)))
