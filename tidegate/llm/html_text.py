@@ -118,7 +118,12 @@ class Stack:
 
     def last(self, names) -> int:
         """Place of the innermost open element of these names, 0 if there is none."""
-        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+        found, places = 0, self.places
+        for name in names:
+            at = places.get(name)
+            if at and at[-1] > found:
+                found = at[-1]
+        return found
 
     def cut(self, at: int) -> bool:
         """Close all from this place on; whether a block was among them."""
@@ -149,7 +154,7 @@ def read_lines(page: str) -> list[Line]:
 
     def close(names: tuple[str, ...], within: tuple[str, ...]) -> None:
         i = stack.last(names)
-        if i > stack.last(within):
+        if i and i > stack.last(within):
             end_block()
             stack.cut(i)
 
