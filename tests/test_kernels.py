@@ -133,3 +133,18 @@ def test_matching_equals_the_plain_greedy_rule(truth, alarms, window):
                 expected.append((tau, a))
                 break
     assert K.match_events(list(truth), list(alarms), window) == expected
+
+
+@pytest.mark.parametrize("kind, alpha", [("hard_switch", None), ("leave_previous", None), ("total_variation", None), ("surprise", None), ("surprise", 0.3)])
+def test_scores_resumed_at_any_cut_equal_those_of_one_pass(kind, alpha):
+    rng = np.random.default_rng(3)
+    filtered, log_c, d = rng.dirichlet((1, 1, 1), 40), rng.normal(-1, 1, 40), K.Detector(kind, 0.3, 1, 0, alpha)
+    whole = K.scores(d, filtered, log_c)
+    for cuts in ([1], [7, 8, 30], list(range(1, 40))):
+        parts, before, base = [], None, None
+        for a, b in zip([0, *cuts], [*cuts, 40]):
+            *got, base = K.resume(d, filtered[a:b], log_c[a:b], before, base)
+            parts.append(got)
+            before = filtered[b - 1]
+        for want, got in zip(whole, zip(*parts)):
+            assert np.array_equal(want, np.concatenate(got))

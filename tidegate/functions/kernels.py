@@ -300,6 +300,23 @@ def scores(d: Detector, filtered: np.ndarray, log_c: np.ndarray) -> tuple[np.nda
     return score, ready & crossed, ready
 
 
+def resume(d: Detector, filtered: np.ndarray, log_c: np.ndarray, before: np.ndarray | None = None, base: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float | None]:
+    """scores() of steps that follow others: `before` is the filtered row ahead of them and `base` the running baseline there, None at the start. With the baseline at the end."""
+    if d.kind == "surprise" and d.alpha is not None:
+        score, ready = np.zeros(len(log_c)), np.ones(len(log_c), bool)
+        for i, s in enumerate((-log_c).tolist()):
+            if base is None:
+                ready[i], base = False, s
+            else:
+                score[i] = s - base
+                base = d.alpha * s + (1 - d.alpha) * base
+        return score, ready & (score >= d.threshold), ready, base
+    if d.kind == "surprise" or before is None:
+        return *scores(d, filtered, log_c), None
+    score, crossed, ready = scores(d, np.vstack((before, filtered)), np.append(0.0, log_c))
+    return score[1:], crossed[1:], ready[1:], None
+
+
 def persist(crossed, ready, required: int, cooldown: int, count: int = 0, left: int = 0) -> tuple[list[bool], int, int]:
     """Alarms after `required` crossings in a row, then none for `cooldown` steps; steps that aren't ready pass by. With the state at the end."""
     out = []

@@ -1,8 +1,8 @@
 """Parameter search with shared fits.
 
 Only the number of regimes and the feature family change a fit, so each (series, k, family) is fitted and
-filtered once; the detector grid is laid over the filtered rows. A series' filtered rows become one array row, and a
-grid chunk beside it makes a task, so a search spreads over series x models x chunks of the grid.
+filtered once; the detector grid is laid over the filtered rows. They go by once for each chunk of the grid, sorted by time, and
+what is held is a batch and the state of the chunk's detectors; a search spreads over series x models x chunks of the grid.
 """
 
 from __future__ import annotations
@@ -53,21 +53,36 @@ def alarm_grid(posterior: DataFrame, kind: str, grid: Grid, alpha: float | None
     """(series_id, point, threshold, required, cooldown, alarms, n): the alarms of each grid point over one set of filtered rows."""
     points = [(i, *p) for i, p in enumerate(grid.points())]
     chunks = [points[i : i + chunk] for i in range(0, len(points), chunk)]
-    rows = posterior.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct("t", "filtered", "log_c"))).alias("r"))
-    rows = rows.select(SERIES, F.col("r.filtered").alias("filtered"), F.col("r.log_c").alias("log_c"), F.explode(F.array(*[F.lit(i) for i in range(len(chunks))])).alias("chunk"))
-    rows = rows.repartition(SERIES, "chunk")
+    rows = posterior.select(SERIES, "t", "filtered", "log_c", F.explode(F.array(*[F.lit(i) for i in range(len(chunks))])).alias("chunk"))
+    rows = rows.repartition(SERIES, "chunk").sortWithinPartitions(SERIES, "chunk", "t")
+    names = [c.split(" ")[0] for c in ALARMED.split(", ")]
 
     def body(batches):
+        now, n, before, of_point = None, 0, None, []
+
+        def done():
+            return pd.DataFrame([(now[0], *p, found, n) for p, _, found, *_ in of_point], columns=names)
+
         for pdf in batches:
-            out = []
-            for s, filtered, log_c, c in zip(pdf[SERIES], pdf["filtered"], pdf["log_c"], pdf["chunk"]):
-                f, lc = np.array([list(x) for x in filtered], float), np.asarray(log_c, float)
-                for i, th, m, cd in chunks[c]:
-                    d = K.Detector(kind, th, m, cd, alpha).check()
-                    _, crossed, ready = K.scores(d, f, lc)
-                    alarms = np.flatnonzero(K.persist(crossed.tolist(), ready.tolist(), m, cd)[0]) + 1
-                    out.append((s, i, th, m, cd, alarms.tolist(), len(lc)))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ALARMED.split(", ")])
+            s, c = pdf[SERIES].to_numpy(object), pdf["chunk"].to_numpy()
+            cut = (np.flatnonzero((s[1:] != s[:-1]) | (c[1:] != c[:-1])) + 1).tolist()
+            for a, b in zip([0, *cut], [*cut, len(pdf)]):
+                if a == b:
+                    continue
+                if (s[a], c[a]) != now:
+                    if now is not None:
+                        yield done()
+                    now, n, before = (s[a], c[a]), 0, None
+                    of_point = [[p, K.Detector(kind, *p[1:], alpha).check(), [], None, 0, 0] for p in chunks[c[a]]]
+                f, lc = np.array(pdf["filtered"].iloc[a:b].tolist(), float), pdf["log_c"].to_numpy(float)[a:b]
+                for state in of_point:
+                    _, d, found, base, count, left = state
+                    _, crossed, ready, state[3] = K.resume(d, f, lc, before, base)
+                    alarm, state[4], state[5] = K.persist(crossed.tolist(), ready.tolist(), d.required, d.cooldown, count, left)
+                    found.extend((np.flatnonzero(alarm) + 1 + n).tolist())
+                n, before = n + b - a, f[-1]
+        if now is not None:
+            yield done()
 
     return rows.mapInPandas(body, ALARMED)
 
