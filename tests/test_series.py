@@ -171,3 +171,18 @@ def test_files(spark, tmp_path):
     assert sorted((r["id"], r["kind"], r["end"]) for r in files.read_events(spark, str(tmp_path / "e.json"), "a").collect()) == [("a", "point", None), ("b", "window", dt.datetime(2024, 1, 5))]
     table = files.MetricsTable([{"run": "a_b", "coverage": 0.12345, "delay_mean": 1.234}, {"run": "c", "coverage": None, "delay_mean": float("nan")}])
     assert "| a_b | 0.123 | 1.23 |" in table.to_markdown() and "a\\_b & 0.123 & 1.23" in table.to_latex() and "c & -- & --" in table.to_latex() and table.to_csv().endswith("c,,\n")
+
+
+def test_diagnosis_tells_a_sound_fit_from_a_suspect_one(spark):
+    start = dt.datetime(2024, 1, 1)
+    obs = spark.createDataFrame([(s, t, start + dt.timedelta(days=t), float((t * 7) % 5 - 2) * (1.0 if s == "good" else 0.001)) for s in ("good", "bad") for t in range(1, 41)], "series_id string, t bigint, ts timestamp_ntz, y double")
+    fit = ([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]])
+    fits = spark.createDataFrame([("good", 0, 2, *fit, [-1.0, 1.0], [1.0, 1.0], -50.0, 3, True, [-60.0, -52.0, -50.0]), ("bad", 0, 2, *fit, [0.0, 0.001], [1e-5, 1e-5], -50.0, 3, False, [-60.0, -49.0, -50.0])], hmm.FIT)
+    got = {r["series_id"]: r for r in hmm.diagnose(obs, fits).collect()}
+    assert set(got) == {"good", "bad"}
+    good, bad = got["good"], got["bad"]
+    assert good["valid"] and good["trustworthy"] and good["monotone"] and good["warnings"] == []
+    assert sum(r["occupancy"] for r in good["regimes"]) == pytest.approx(1) and sum(r["hard_count"] for r in good["regimes"]) == 40
+    assert [round(r["expected_duration"], 6) for r in good["regimes"]] == [10.0, 5.0]
+    assert [(w["kind"], w["regime"]) for w in bad["warnings"]] == [("em_non_monotonicity", None), ("near_zero_variance", 0), ("near_zero_variance", 1)]
+    assert bad["trustworthy"] and not bad["monotone"] and bad["largest_drop"] == 1.0

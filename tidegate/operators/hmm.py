@@ -247,6 +247,42 @@ def warnings(fits: DataFrame, regimes: DataFrame) -> DataFrame:
     return out
 
 
+REGIME = "struct<regime:int,occupancy:double,hard_count:bigint,self_prob:double,expected_duration:double,mean:double,variance:double>"
+DEVIATIONS = ("max_filtered_dev", "max_smoothed_dev", "max_xi_dev", "max_marginal_dev")
+
+#: Fixed value: the largest deviation of a posterior's sums that a trustworthy fit may have.
+POSTERIOR_TOL = 1e-8
+
+
+def diagnose(obs: DataFrame, fits: DataFrame) -> DataFrame:
+    """One row a series for its best fit: valid, the posterior's deviations, the convergence summary, regimes, warnings, trustworthy.
+
+    The fitted parameters go over the series once more; trustworthy asks for valid parameters and a posterior whose sums hold.
+    A series without a fit is left out; one of a single row has no pair of regimes, whose deviations are 0 then."""
+    best = best_fit(fits)
+    checked = param_validity(best)
+    valid = checked.select(SERIES, (F.col("finite") & F.col("positive_variances") & (F.col("pi_dev") <= K.SIMPLEX_TOL) & (F.col("row_dev") <= K.SIMPLEX_TOL)).alias("valid"))
+
+    def body(pdf: pd.DataFrame, p: K.Params) -> pd.DataFrame:
+        f = K.forward_filter(p, pdf["y"].to_numpy(float))
+        s = K.smooth(p, f)
+        xi = K.pairwise(p, f, s)
+        sums = [f.filtered.sum(1) - 1, s.sum(1) - 1, xi.sum((1, 2)) - 1, xi.sum(1) - s[1:]]
+        stay, top = np.diag(p.transition), K.dominant(s)
+        lasts = [1 / (1 - x) if abs(1 - x) >= np.finfo(float).eps else float("inf") for x in stay]
+        regimes = [{"regime": j, "occupancy": float(s[:, j].mean()), "hard_count": int((top == j).sum()), "self_prob": float(stay[j]), "expected_duration": float(lasts[j]), "mean": float(p.means[j]), "variance": float(p.variances[j])} for j in range(p.k)]
+        return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], **{c: float(np.abs(x).max(initial=0.0)) for c, x in zip(DEVIATIONS, sums)}, "regimes": regimes}])
+
+    passed = per_series(obs, best.select(SERIES, "pi", "transition", "means", "variances"), body, f"{SERIES} string, {', '.join(f'{c} double' for c in DEVIATIONS)}, regimes array<{REGIME}>")
+    found = warnings(best, passed.select(SERIES, F.explode("regimes").alias("r")).select(SERIES, "r.*"))
+    found = found.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct("kind", "regime", "value"))).alias("warnings"))
+    rows = best.select(SERIES, "start", "n_iter", "converged").join(valid, SERIES).join(passed, SERIES).join(convergence(best).drop("start"), SERIES).join(found, SERIES, "left")
+    holds = F.col("valid")
+    for c in DEVIATIONS:
+        holds = holds & (F.col(c) < POSTERIOR_TOL)
+    return rows.withColumns({"warnings": F.coalesce("warnings", F.array().cast("array<struct<kind:string,regime:int,value:double>>")), "trustworthy": holds})
+
+
 def compare_runs(fits: DataFrame) -> DataFrame:
     """(series_id, n_runs, best, spread, top2_gap, unstable): by log-likelihood; unstable beyond a spread of one."""
     ranked = fits.withColumn("__r", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc("log_likelihood"), F.desc("start"))))

@@ -553,6 +553,23 @@ def regime_summary(spark, sf_dir):
     return neat(hmm.regime_summary(hmm.smooth_rows(obs(spark, sf_dir), MODEL), MODEL))
 
 
+@query("diagnose", f"""{em_sql(3)}, d AS (SELECT series_id, min(ll - before) AS least FROM (SELECT series_id, ll, lag(ll) OVER (PARTITION BY series_id ORDER BY i) AS before FROM hist) GROUP BY 1),
+o AS (SELECT series_id, avg(g0) AS o0, avg(g1) AS o1, sum((g1 < g0)::INT)::BIGINT AS h0, sum((g1 >= g0)::INT)::BIGINT AS h1, max(abs(f0 + f1 - 1)) AS df, max(abs(g0 + g1 - 1)) AS dg,
+  max(abs(b0 * a00 * g0 / q0 + b1 * a10 * g0 / q0 + b0 * a01 * g1 / q1 + b1 * a11 * g1 / q1 - 1)) FILTER (t > 1) AS dx, max(greatest(abs(b0 * a00 * g0 / q0 + b1 * a10 * g0 / q0 - g0), abs(b0 * a01 * g1 / q1 + b1 * a11 * g1 / q1 - g1))) FILTER (t > 1) AS dm FROM sm3 GROUP BY 1)
+SELECT series_id, {R('o0')} AS occupancy0, {R('o1')} AS occupancy1, h0 AS hard_count0, h1 AS hard_count1, {R('a00')} AS self_prob0, {R('a11')} AS self_prob1, {R('1 / (1 - a00)', 4)} AS expected_duration0, {R('1 / (1 - a11)', 4)} AS expected_duration1,
+  isfinite(pi0 + a00 + a11 + m0 + m1 + v0 + v1) AND v0 > 0 AND v1 > 0 AND abs(pi0 + pi1 - 1) <= 1e-9 AND abs(a00 + a01 - 1) <= 1e-9 AND abs(a10 + a11 - 1) <= 1e-9 AS valid, least >= -1e-8 AS monotone,
+  (v0 < 1e-4)::BIGINT + (v1 < 1e-4)::BIGINT + (o0 < 0.01)::BIGINT + (o1 < 0.01)::BIGINT + (a00 > 1 - 1e-6)::BIGINT + (a11 > 1 - 1e-6)::BIGINT + (least < -1e-8)::BIGINT AS n_warnings, greatest(df, dg, dx, dm) < 1e-8 AS trustworthy
+FROM o JOIN par3 USING (series_id) JOIN d USING (series_id)""")
+def diagnose(spark, sf_dir):
+    """Diagnostics of the fits after three EM steps."""
+    rows = obs(spark, sf_dir)
+    got = hmm.diagnose(rows, hmm.fit_em(rows, 2, tol=0.0, max_iter=3))
+    r = F.col("regimes")
+    flat = {f"{c}{j}": r[j][c] for c in ("occupancy", "hard_count", "self_prob") for j in (0, 1)}
+    out = neat(got.select(SERIES, *[x.alias(c) for c, x in flat.items()], "valid", "monotone", F.size("warnings").alias("n_warnings"), "trustworthy", *[r[j]["expected_duration"].alias(f"expected_duration{j}") for j in (0, 1)]))
+    return out.withColumns({f"expected_duration{j}": F.round(f"expected_duration{j}", 4) for j in (0, 1)})
+
+
 @query("diagnostic_warnings")
 def diagnostic_warnings(spark, sf_dir):
     return hmm.warnings(fits(spark, sf_dir, 2, 0.5), hmm.regime_summary(hmm.smooth_rows(obs(spark, sf_dir), MODEL), MODEL))
