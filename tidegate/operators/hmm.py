@@ -107,22 +107,26 @@ def initial_params(obs: DataFrame, k: int) -> DataFrame:
 FIT = f"{SERIES} string, start int, {PARAMS}, log_likelihood double, n_iter int, converged boolean, history array<double>"
 
 
+def spread(obs: DataFrame, *more: str) -> DataFrame:
+    """obs by series (and more columns) in more tasks than shuffles have: a fit takes far longer than the bytes of its rows let on, so its tasks aren't to be
+    merged by size. A shuffle of the same number would be taken for the one below it, which is merged."""
+    return obs.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, SERIES, *more)
+
+
 def fit_em(obs: DataFrame, k: int, tol: float = 1e-6, max_iter: int = 1000, n_starts: int = 1, jitter: float = 0.0, seed: int = 42) -> DataFrame:
-    """Fits of each series, one row a start. Starts are alike unless jitter (in standard deviations) moves the means of all but the first."""
+    """Fits of each series, one row a start. Starts are alike unless jitter (in standard deviations) moves the means of all but the first; they run side by side."""
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].to_numpy(float)
-        rows = []
-        for s in range(n_starts):
-            p = K.initial_params(y, k)
-            if s and jitter:
-                rng = np.random.Generator(np.random.PCG64([seed, s]))
-                p = K.Params(p.pi, p.transition, p.means + jitter * y.std() * rng.standard_normal(k), p.variances)
-            fit = K.fit_em(y, p, tol, max_iter)
-            rows.append({SERIES: pdf[SERIES].iloc[0], "start": s, **fit.params.row(), "log_likelihood": fit.log_likelihood, "n_iter": fit.n_iter, "converged": fit.converged, "history": fit.history})
-        return pd.DataFrame(rows)
-
-    return obs.groupBy(SERIES).applyInPandas(body, FIT)
+        y, s = pdf.sort_values("t")["y"].to_numpy(float), int(pdf["start"].iloc[0])
+        p = K.initial_params(y, k)
+        if s and jitter:
+            rng = np.random.Generator(np.random.PCG64([seed, s]))
+            p = K.Params(p.pi, p.transition, p.means + jitter * y.std() * rng.standard_normal(k), p.variances)
+        fit = K.fit_em(y, p, tol, max_iter)
+        return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], "start": s, **fit.params.row(), "log_likelihood": fit.log_likelihood, "n_iter": fit.n_iter, "converged": fit.converged, "history": fit.history}])
+
+    starts = obs.select(SERIES, "t", "y", F.explode(F.array(*[F.lit(s) for s in range(n_starts)])).alias("start"))
+    return spread(starts, "start").groupBy(SERIES, "start").applyInPandas(body, FIT)
 
 
 def best_fit(fits: DataFrame) -> DataFrame:

@@ -114,12 +114,24 @@ def top(ranked: DataFrame, n: int = 10) -> DataFrame:
 
 
 def search_models(prices: DataFrame, truth: DataFrame, models: list[tuple[int, feats.Feature]], kind: str, grid: Grid, window: int = 20, tol: float = 1e-6, max_iter: int = 200) -> DataFrame:
-    """All models x grid points of each series, ranked: one fit a model. Columns model, k and family name the model; models are numbered in the order given."""
-    out = None
-    for i, (k, f) in enumerate(models):
-        obs = feats.stream(prices, f)
-        params = hmm.best_fit(hmm.fit_em(obs, k, tol, max_iter)).select(SERIES, "pi", "transition", "means", "variances")
-        got = score_synthetic(alarm_grid(hmm.filter_rows(obs, params, move_first=True), kind, grid), truth, window)
-        got = got.withColumns({"model": F.lit(i), "k": F.lit(k), "family": F.lit(f.label(""))}).withColumn("point", F.col("point") + i * len(grid.points()))
-        out = got if out is None else out.unionByName(got)
-    return rank(out)
+    """All models x grid points of each series, ranked: one fit a model. Columns model, k and family name the model; models are numbered in the order given.
+
+    Each feature is built once. Models stand side by side as series of their own, named `model:series`, so one plan fits, filters and
+    lays the grid for all of them."""
+    rows = None
+    for f in dict.fromkeys(f for _, f in models):
+        mine = F.explode(F.array(*[F.lit(i) for i, (_, g) in enumerate(models) if g == f]))
+        got = feats.stream(prices, f).select(SERIES, "t", "ts", "y", mine.alias("model"))
+        rows = got if rows is None else rows.unionByName(got)
+    ks = F.array(*[F.lit(k) for k, _ in models])
+    rows = rows.select(F.concat("model", F.lit(":"), SERIES).alias(SERIES), "t", "ts", "y", ks[F.col("model")].alias("k"))
+    params = None
+    for k in sorted({k for k, _ in models}):
+        got = hmm.best_fit(hmm.fit_em(rows.where(F.col("k") == k), k, tol, max_iter)).select(SERIES, "pi", "transition", "means", "variances")
+        params = got if params is None else params.unionByName(got)
+    laid = alarm_grid(hmm.filter_rows(hmm.spread(rows.drop("k")), params, move_first=True), kind, grid)
+    parts = F.split(SERIES, ":", 2)
+    laid = laid.withColumns({"model": parts[0].cast("int"), SERIES: parts[1]})
+    labels = F.array(*[F.lit(f.label("")) for _, f in models])
+    more = {"k": ks[F.col("model")], "family": labels[F.col("model")], "point": F.col("point") + F.col("model") * len(grid.points())}
+    return rank(score_synthetic(laid, truth, window).withColumns(more))
