@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pytest
@@ -186,3 +187,20 @@ def test_diagnosis_tells_a_sound_fit_from_a_suspect_one(spark):
     assert [round(r["expected_duration"], 6) for r in good["regimes"]] == [10.0, 5.0]
     assert [(w["kind"], w["regime"]) for w in bad["warnings"]] == [("em_non_monotonicity", None), ("near_zero_variance", 0), ("near_zero_variance", 1)]
     assert bad["trustworthy"] and not bad["monotone"] and bad["largest_drop"] == 1.0
+
+
+def test_store_of_days_becomes_one_of_timestamps(spark, tmp_path):
+    path = str(tmp_path / "store")
+    s = store.Store(spark, path)
+    assert s.prepare() == ["prices: made", "meta: made"] and s.prepare() == [] and s.status().count() == 0
+    old = str(tmp_path / "old")
+    day, now = dt.date(2024, 1, 2), dt.datetime(2024, 2, 1)
+    for name, rows, ddl in (("prices", [(day, 1.5, now, "wti", "daily"), (day, 2.5, now, "spy", "daily")], "ts date, value double, fetched_at timestamp_ntz, symbol string, interval string"), ("meta", [("W", "USD", "wti", "daily")], store.META)):
+        spark.createDataFrame(rows, ddl).write.partitionBy("symbol", "interval").parquet(f"{old}/{name}")
+    s = store.Store(spark, old)
+    assert s.prepare() == ["prices: ts changed"] and s.prepare() == []
+    assert [tuple(r) for r in s.load("wti", "daily").collect()] == [(dt.datetime(2024, 1, 2), 1.5)] and s.status().count() == 2
+    os.rename(f"{old}/prices", f"{old}/prices.new")  # ended after the old table went
+    assert s.prepare() == ["prices: finished"] and s.status().count() == 2
+    s.replace(spark.createDataFrame([("wti", "daily", "W", "USD", dt.datetime(2024, 3, 1), 9.0)], vendor.SERIES_SCHEMA), "2024-03-02 00:00:00")
+    assert s.load("wti", "daily").first()["value"] == 9.0 and s.prepare() == []

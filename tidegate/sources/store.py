@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRICES = "ts timestamp_ntz, value double, fetched_at timestamp_ntz, symbol string, interval string"
 META = "name string, unit string, symbol string, interval string"
@@ -18,6 +19,48 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def prepare(self) -> list[str]:
+        """Make the store's tables where they are missing, and bring older ones to the schema of today; what was done, nothing the second time.
+
+        An older table has columns of other types, such as days instead of timestamps. It is written anew beside the old one,
+        which goes away only when the new one is whole; a run that was ended in between is finished by the next."""
+        done = []
+        for name, ddl in (("prices", PRICES), ("meta", META)):
+            want, at = T.StructType.fromDDL(ddl), f"{self.path}/{name}"
+            if not self._exists(at) and self._exists(f"{at}.new/_SUCCESS"):
+                self._rename(f"{at}.new", at)
+                done.append(f"{name}: finished")
+            if not self._exists(at):
+                self.spark.createDataFrame([], want).write.mode("overwrite").parquet(at)
+                done.append(f"{name}: made")
+                continue
+            rows = self.spark.read.option("basePath", at).parquet(at)
+            have = dict(rows.dtypes)
+            if all(have.get(f.name) == f.dataType.simpleString() for f in want if f.name not in ("symbol", "interval")):
+                continue
+            missing = [f.name for f in want if f.name not in have]
+            if missing:
+                raise ValueError(f"{at} has no column {missing}")
+            cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
+            cast.repartition("symbol", "interval").write.mode("overwrite").partitionBy("symbol", "interval").parquet(f"{at}.new")
+            self._files(at).delete(self._at(at), True)
+            self._rename(f"{at}.new", at)
+            done.append(f"{name}: {', '.join(f.name for f in want if have[f.name] != f.dataType.simpleString())} changed")
+        return done
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._at(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        return self._files(path).exists(self._at(path))
+
+    def _rename(self, path: str, to: str) -> None:
+        if not self._files(path).rename(self._at(path), self._at(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
     def _table(self, name: str, ddl: str) -> DataFrame:
         try:
             return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
