@@ -7,7 +7,7 @@ import pytest
 
 from tidegate.functions import kernels as K
 from tidegate.operators import search
-from tidegate.plans import cli, config, plots, registry
+from tidegate.plans import cli, config, menu, plots, registry
 from tidegate.plans.config import Data, Evaluation, Experiment, Model, Output
 from tidegate.plans.runner import Runner, compare_runs, read_runs
 
@@ -93,3 +93,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["run-experiment", str(path)]) == 0
     assert cli.main(["inspect", "--root", str(tmp_path / "out")]) == 0 and "cli  success" in capsys.readouterr().out
     assert cli.main(["run-real", "real_spy_daily_hard_switch"]) == 1  # no store
+
+
+def test_menu_asks_and_runs():
+    ran, said, answers = [], [], iter(["Data", "3", "wti:d", "store", "", "9", "2", "5", "surprise", "q", "4", "out", "1", "1", "y", "boom.toml", "3", "q", "5"])
+
+    def run(argv):
+        ran.append(argv)
+        if "boom.toml" in argv:
+            raise ValueError("no file\nmore")
+        return 0
+
+    assert menu.Menu(run, lambda prompt: next(answers), said.append).loop() == 0
+    assert ran == [["show", "wti:d", "--store", "store", "-n", "10"], ["e2e", "--root", "out"], ["ingest", "--settings", "boom.toml", "--force"]]
+    assert "no choice '9'" in said and "error: no file" in said
+
+
+def test_every_flow_of_the_menu_is_a_command():
+    m = menu.Menu(lambda argv: 0, lambda prompt: "1" if prompt.startswith("number") else "", lambda line: None)
+    flows = [f for group in m.menus().values() for f in group.values()]
+    commands = [cli.parser().parse_args(f()).command for f in flows]
+    assert len(flows) == 13 and set(commands) >= {"ingest", "status", "show", "run-experiment", "run-real", "calibrate", "calibrate-scenario", "param-search", "inspect", "compare-runs", "compare-sim-vs-real", "generate-report", "e2e"}
+
+
+def test_end_of_input_leaves_the_menu():
+    def ask(prompt):
+        raise EOFError
+
+    assert menu.Menu(lambda argv: 1, ask, lambda line: None).loop() == 0
+
+
+def test_scenario_calibration(spark, tmp_path, capsys):
+    e = Experiment("c", data=Data("persistent_states", 500), output=Output(str(tmp_path)))
+    _, empirical, params, checks = Runner(spark).calibrate(e)
+    assert empirical["n"] == 350 and params["k"] == 2 and {c["field"] for c in checks} == {"variance", "q05", "q95", "abs_acf1", "sign_change_rate"}
+    path = tmp_path / "c.json"
+    path.write_text(e.to_json())
+    assert cli.main(["calibrate-scenario", str(path)]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("c: synthetic:persistent_states") and lines[-1] == ("passed" if all(c["ok"] for c in checks) else "failed")
+    with pytest.raises(ValueError):
+        Runner(spark).calibrate(Experiment("r", "real", data=Data(asset="spy")))

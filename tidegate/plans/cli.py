@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate, features, search
 from ..operators.clean import SERIES
 from ..sources import files, store, vendor
-from . import config, registry
+from . import config, menu, registry
 from .runner import Runner, compare_runs, read_runs, summary_row
 
 
@@ -27,7 +27,7 @@ def prices_of(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidegate")
-    sub = p.add_subparsers(dest="command", required=True)
+    sub = p.add_subparsers(dest="command")
 
     def add(name: str, what: str, *args) -> None:
         s = sub.add_parser(name, help=what)
@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     add("param-search", "score a detector grid", exp, stored, (("--top",), {"type": int, "default": 10}))
     add("optimize", "search, then run the best with all outputs", exp, stored, (("--top",), {"type": int, "default": 10}), (("--models",), {"action": "store_true", "help": "search numbers of regimes and features too"}))
     add("calibrate", "calibrate a scenario to an asset", (("asset",), {}), (("--store",), {"required": True}), (("--strategy",), {"choices": ("summary", "quick_em"), "default": "summary"}), (("--k",), {"type": int, "default": 2}), root)
+    add("calibrate-scenario", "calibrate to the train share of a synthetic experiment, and compare", exp)
     add("compare-runs", "a table of the runs below a folder", root, (("--format",), {"choices": ("md", "csv", "tex"), "default": "md"}))
     add("compare-sim-vs-real", "metric by metric, real run less simulated one", (("sim",), {}), (("real",), {}))
     add("inspect", "list the runs below a folder", root)
@@ -52,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     add("ingest", "fetch the configured series into the store", (("--settings",), {"default": "config.toml"}), (("--force",), {"action": "store_true"}), (("--payloads",), {"help": "folder of saved payloads, instead of the network"}))
     add("generate-report", "run a saved configuration again with all outputs", (("snapshot",), {}), stored)
     add("template", "print a configuration", (("--mode",), {"choices": ("synthetic", "real", "sim_to_real"), "default": "synthetic"}))
+    add("menu", "choose commands interactively; the same as no command")
     add("help", "this list")
     return p
 
@@ -61,10 +63,20 @@ def experiment(name: str) -> config.Experiment:
     return known[name] if name in known else config.load(name)
 
 
+def calibration_report(e: config.Experiment, empirical: dict, params: dict, checks: list[dict]) -> list[str]:
+    """Lines on a calibration: the summary it aims at, the parameters, each field's check and the verdict."""
+    figures = [f"  {k} = {v:.6f}" if isinstance(v, float) else f"  {k} = {v}" for k, v in empirical.items() if k != SERIES]
+    regimes = [f"  regime {j}: mean {params['means'][j]:.6f}, variance {params['variances'][j]:.6f}, {d:.1f} bars" for j, d in enumerate(params["expected_durations"])]
+    fields = [f"  {c['field']}: real {c['real']:.6f}, synthetic {c['synthetic']:.6f}, error {c['error']:.4f} of {c['tolerance']:.2f}{'' if c['ok'] else ', beyond'}" for c in checks]
+    return [f"{e.label}: synthetic:{e.data.scenario}, {e.feature.label('')}, horizon {e.data.horizon}", *figures, *regimes, *fields, "passed" if all(c["ok"] for c in checks) else "failed"]
+
+
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     a = p.parse_args(argv)
     say = print
+    if a.command in (None, "menu"):
+        return menu.Menu(main).loop()
     if a.command == "help":
         p.print_help()
         return 0
@@ -94,6 +106,8 @@ def main(argv: list[str] | None = None) -> int:
                 options = {"symbol": symbol, "interval": how, "per_minute": str(settings.per_minute)} | ({"path": a.payloads} if a.payloads else {"url": settings.base_url, "api_key": settings.api_key})
                 return vendor.decode(spark.read.format("vendor").options(**options).load())
 
+            for what in store.Store(spark, settings.store).prepare():
+                say(what)
             now = spark.sql("SELECT cast(current_timestamp() AS timestamp_ntz) AS t").first()["t"]
             got = store.Store(spark, settings.store).ingest(settings.series, fetch, str(now), a.force)
             for (symbol, how), what in got.items():
@@ -106,6 +120,10 @@ def main(argv: list[str] | None = None) -> int:
             store.newest(s.prices, *vendor.parse_series(a.series), a.n).show(a.n, False)
         return 0
     runner = Runner(spark, prices_of(spark, getattr(a, "store", None)))
+    if a.command == "calibrate-scenario":
+        for line in calibration_report(*runner.calibrate(experiment(a.experiment))):
+            say(line)
+        return 0
     if a.command == "calibrate":
         obs = features.numbered(features.returns(runner.prices.where(F.col(SERIES) == a.asset)))
         m = calibrate.Mapping(k=a.k, strategy=a.strategy)

@@ -246,6 +246,18 @@ class Runner:
             files.write_json(at("result.json"), asdict(out))
         return out
 
+    def calibrate(self, e: Experiment) -> tuple[Experiment, dict, dict, list[dict]]:
+        """The experiment, the summary of its train share, the parameters calibrated to that, and the verification of what they simulate."""
+        if e.mode != "synthetic":
+            raise ValueError("this experiment isn't synthetic; calibrate to its asset")
+        obs = self._scaled_simulation(e.check(), self._synthetic(e))
+        train = obs.where(F.col("t") <= int(0.7 * e.data.horizon)).cache()
+        try:
+            params, _, checks = calibrate.workflow(train, calibrate.Mapping(k=e.model.k, horizon=e.data.horizon), e.seed or 42)
+            return e, calibrate.empirical_summary(train).first().asDict(), params.first().asDict(True), [r.asDict() for r in checks.collect()]
+        finally:
+            train.unpersist()
+
     # --- several runs
 
     def batch(self, experiments: list[Experiment], stop_on_error: bool = False, write: bool = True) -> list[Result]:
