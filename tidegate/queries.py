@@ -857,6 +857,28 @@ def calibrated_params(spark, sf_dir):
     return neat(p.select(SERIES, m[0].alias("m0"), m[1].alias("m1"), v[0].alias("v0"), v[1].alias("v1"), tr[0][0].alias("p00"), tr[1][1].alias("p11"), F.col("pi")[0].alias("pi0")))
 
 
+#: The other policies of means and variances, three regimes among them; anchors of magnitude are the deviations of the halves about the median of |y|.
+OTHER = f"""WITH {EMPIRICAL}, sz AS (SELECT series_id, y, abs(y) <= max(CASE WHEN i = n // 2 THEN abs(y) END) OVER (PARTITION BY series_id) AS small FROM
+  (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY abs(y)) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM obs)),
+mg AS (SELECT series_id, sqrt(greatest(var_pop(y) FILTER (small), 1e-12)) AS s1, sqrt(greatest(var_pop(y) FILTER (NOT small), 1e-12)) AS s2 FROM sz GROUP BY 1)"""
+
+
+@query("calibrated_symmetric_ratio", f"WITH {EMPIRICAL} SELECT series_id, {R('mean - 0.5::DOUBLE * std_dev')} AS m0, {R('mean')} AS m1, {R('mean + 0.5::DOUBLE * std_dev')} AS m2, {R('0.4::DOUBLE * variance')} AS v0, {R('1.7::DOUBLE * variance')} AS v1, {R('3::DOUBLE * variance')} AS v2, 0.95::DOUBLE AS p00, 0.05::DOUBLE AS p01, 0.1::DOUBLE AS p12, 0.25::DOUBLE AS p20 FROM emp")
+def calibrated_symmetric_ratio(spark, sf_dir):
+    """Three regimes about the mean, variances in given ratios, given durations, each regime followed by the next."""
+    m = calibrate.Mapping(k=3, means="symmetric", variances="ratio", low_mult=0.4, high_mult=3.0, durations=(20.0, 10.0, 4.0), symmetric=False)
+    p = calibrate.calibrated_params(obs(spark, sf_dir), m)
+    tr = F.col("transition")
+    return neat(p.select(SERIES, *[F.col(c)[j].alias(f"{c[0]}{j}") for c in ("means", "variances") for j in range(3)], tr[0][0].alias("p00"), tr[0][1].alias("p01"), tr[1][2].alias("p12"), tr[2][0].alias("p20")))
+
+
+@query("calibrated_baseline_magnitude", f"{OTHER} SELECT series_id, {R('mean')} AS m0, {R('mean')} AS m1, {R('least(s1, s2) ** 2')} AS v0, {R('greatest(s1, s2) ** 2')} AS v1 FROM emp JOIN mg USING (series_id)")
+def calibrated_baseline_magnitude(spark, sf_dir):
+    """Both regimes at the mean, variances from the small and the large half of the values."""
+    p = calibrate.calibrated_params(obs(spark, sf_dir), calibrate.Mapping(means="baseline", variances="magnitude_conditioned"))
+    return neat(p.select(SERIES, *[F.col(c)[j].alias(f"{c[0]}{j}") for c in ("means", "variances") for j in range(2)]))
+
+
 @query("calibrated_quick_em")
 def calibrated_quick_em(spark, sf_dir):
     return calibrate.calibrated_params(obs(spark, sf_dir), calibrate.Mapping(strategy="quick_em"))
