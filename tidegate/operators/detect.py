@@ -74,18 +74,35 @@ def alarms(posterior: DataFrame, d: K.Detector) -> DataFrame:
     return posterior.select(SERIES, "t", "ts", "filtered", "log_c").groupBy(SERIES).applyInPandas(body, ALARMS)
 
 
+FOLDED = f"{SERIES} string, n_alarms bigint, last_alarm bigint"
+
+
 def persistence(scores: DataFrame, required: int, cooldown: int) -> DataFrame:
-    """(series_id, n_alarms, last_alarm) by the persistence rule as a fold over the sorted steps, inside Catalyst."""
-    steps = F.array_sort(F.collect_list(F.struct("t", "crossed", "ready")))
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("left"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
-
-    def step(s, x):
-        waiting = s["left"] > 0
-        fires = ~waiting & x["crossed"] & (s["c"] + 1 >= required)
-        count = F.when(waiting | ~x["crossed"] | fires, F.lit(0)).otherwise(s["c"] + 1)
-        left = F.when(waiting, s["left"] - 1).when(fires, F.lit(cooldown)).otherwise(F.lit(0))
-        new = F.struct(count.alias("c"), left.alias("left"), (s["n"] + fires.cast("long")).alias("n"), F.when(fires, x["t"]).otherwise(s["last"]).alias("last"))
-        return F.when(x["ready"], new).otherwise(s)
-
-    out = scores.groupBy(SERIES).agg(F.aggregate(steps, start, step).alias("s"))
-    return out.select(SERIES, F.col("s.n").alias("n_alarms"), F.col("s.last").alias("last_alarm"))
+    """(series_id, n_alarms, last_alarm) by the persistence rule. Sorted rows go by once; what is held is a batch and the rule's state."""
+    rows = scores.select(SERIES, "t", "crossed", "ready").repartition(SERIES).sortWithinPartitions(SERIES, "t")
+    names = [c.split(" ")[0] for c in FOLDED.split(", ")]
+
+    def body(batches):
+        now, n, last, count, left = None, 0, None, 0, 0
+
+        def done():
+            return pd.DataFrame({names[0]: [now], names[1]: [n], names[2]: pd.array([last], dtype="Int64")})
+
+        for pdf in batches:
+            s = pdf[SERIES].to_numpy(object)
+            cut = (np.flatnonzero(s[1:] != s[:-1]) + 1).tolist()
+            for a, b in zip([0, *cut], [*cut, len(s)]):
+                if a == b:
+                    continue
+                if s[a] != now:
+                    if now is not None:
+                        yield done()
+                    now, n, last, count, left = s[a], 0, None, 0, 0
+                part = pdf.iloc[a:b]
+                alarm, count, left = K.persist(part["crossed"].tolist(), part["ready"].tolist(), required, cooldown, count, left)
+                hit = part["t"].to_numpy()[np.array(alarm, bool)]
+                n, last = n + len(hit), int(hit[-1]) if len(hit) else last
+        if now is not None:
+            yield done()
+
+    return rows.mapInPandas(body, FOLDED)

@@ -19,6 +19,7 @@ from ..functions import kernels as K
 from ..operators.clean import SERIES
 
 OUT = f"{SERIES} string, t bigint, ts timestamp_ntz, y double, filtered array<double>, log_c double, cumulative double, score double, ready boolean, alarm boolean, dominant int"
+SOURCE = f"{SERIES} string, ts timestamp_ntz, y double"
 STATE = "filtered array<double>, t bigint, cumulative double, baseline double, count int, left int, last timestamp_ntz, session date"
 
 
@@ -106,22 +107,23 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 def replay(rows: DataFrame, p: K.Params, d: K.Detector, folder: str, parts: int = 1) -> DataFrame:
     """Rows (series_id, ts, y) through the stream to the end, and what it wrote: they are saved in `folder` as the stream's
-    source, in the order of time if there are several parts, and read with the trigger availableNow."""
+    source, in the order of time if there are several parts, and read with the trigger availableNow.
+
+    A part is written by series, so that it spreads over tasks: a series has one file in a part, and the files of a part are newer than those of the part before.
+    A micro-batch takes about as many files as a part has."""
     spark = rows.sparkSession
     numbered = rows.select(SERIES, "ts", "y")
-    if parts > 1:
-        cuts = [c for c in numbered.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)]
-        x = F.unix_micros(F.col("ts").cast("timestamp"))
-        numbered = numbered.withColumn("part", sum(((x > c).cast("int") for c in cuts), F.lit(0)))
-        for i in range(parts):
-            numbered.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    else:
-        numbered.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    x = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = numbered.select(x.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    numbered = numbered.withColumn("part", sum(((x > c).cast("int") for c in cuts), F.lit(0)))
+    for i in range(parts):
+        numbered.where(F.col("part") == i).drop("part").repartition(SERIES).write.mode("append").parquet(f"{folder}/in")
+    files = max(1, -(-len(spark.read.schema(SOURCE).parquet(f"{folder}/in").inputFiles()) // parts))
     key, value = STATE_STORE
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
-        source = spark.readStream.schema(f"{SERIES} string, ts timestamp_ntz, y double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        source = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
         query = online(source, p, d).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
