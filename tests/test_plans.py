@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate.functions import kernels as K
 from tidegate.operators import search
@@ -80,7 +81,7 @@ def test_failures_name_their_stage(spark, prices, tmp_path):
 
 def test_plots_are_png(tmp_path):
     path = str(tmp_path / "p.png")
-    for draw in (lambda: plots.signal_with_alarms(path, [1.0, float("nan"), 2.0], [2], [1]), lambda: plots.detector_scores(path, [], 0.5, []), lambda: plots.regime_posteriors(path, [[0.1, 0.9], [0.5, 0.5]]), lambda: plots.delay_distribution(path, []), lambda: plots.segmentation(path, [1.0, 2.0, 9.0], [3])):
+    for draw in (lambda: plots.signal_with_alarms(path, 3, [(1, 1.0), (2, float("nan")), (3, 2.0)], [2], [1]), lambda: plots.detector_scores(path, 0, [], 0.5, []), lambda: plots.regime_posteriors(path, 2, [[(1, 0.1), (2, 0.5)], [(1, 0.9), (2, 0.5)]]), lambda: plots.delay_distribution(path, []), lambda: plots.segmentation(path, 3, [(1, 1.0), (2, 2.0), (3, 9.0)], [(1, 2, 1.5), (3, 3, 9.0)])):
         draw()
         data = open(path, "rb").read()
         assert data[:8] == b"\x89PNG\r\n\x1a\n" and data[16:24] == (1200).to_bytes(4, "big") + (600).to_bytes(4, "big")
@@ -134,3 +135,16 @@ def test_scenario_calibration(spark, tmp_path, capsys):
     assert lines[0].startswith("c: synthetic:persistent_states") and lines[-1] == ("passed" if all(c["ok"] for c in checks) else "failed")
     with pytest.raises(ValueError):
         Runner(spark).calibrate(Experiment("r", "real", data=Data(asset="spy")))
+
+
+def test_long_series_are_thinned_to_the_width(spark, monkeypatch):
+    monkeypatch.setattr(plots, "BUCKETS", 10)
+    rows = spark.range(1, 1001).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), F.sin(F.col("id") / 7).alias("y"))
+    line = plots.thinned(rows, F.col("y"), 1000)
+    y = {t: np.sin(t / 7) for t in range(1, 1001)}
+    expected = {f(range(b * 100 + 1, b * 100 + 101), key=y.get) for b in range(10) for f in (min, max)}
+    assert [t for t, _ in line] == sorted(expected) and all(v == pytest.approx(y[t]) for t, v in line)
+    assert len(plots.thinned(rows.where("t <= 8"), F.col("y"), 8)) == 8
+    assert plots.marks(rows.where("t IN (5, 7, 250, 999)").select("t"), 1000) == [5, 250, 999]
+    parts = rows.select("t", "y", F.when(F.col("t") < 50, 0).when(F.col("t") < 60, 1).otherwise(2).alias("segment_index"))
+    assert [(a, b) for a, b, _ in plots.segment_means(parts, 1000)] == [(60, 1000)]

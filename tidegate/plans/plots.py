@@ -1,4 +1,7 @@
-"""PNG plots of 1200 x 600 without a plotting library: a canvas in numpy and an encoder on zlib."""
+"""PNG plots of 1200 x 600 without a plotting library: a canvas in numpy and an encoder on zlib.
+
+Lines are lists of (t, value); a series longer than the canvas is thinned first, in Spark, so what a plot takes to the driver is bounded by its width.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 WIDTH, HEIGHT, MARGIN = 1200, 600, 40
 #: Colours of regimes and lines.
@@ -65,28 +70,58 @@ def _span(values) -> tuple[float, float]:
     return (float(v.min()), float(v.max())) if len(v) and v.min() < v.max() else (float(v[0]) - 1 if len(v) else 0.0, float(v[0]) + 1 if len(v) else 1.0)
 
 
-def signal_with_alarms(path: str, y, alarms, truth=()) -> None:
-    t = np.arange(1, len(y) + 1)
-    c = Canvas("Signal and alarms", (1, max(2, len(y))), _span(y))
+#: Buckets of time that a line is thinned to, somewhat more than the canvas has columns.
+BUCKETS = 2 * WIDTH
+
+
+def bucket(n: int) -> Column:
+    return F.floor((F.col("t") - 1) * BUCKETS / F.lit(max(n, 1)))
+
+
+def thinned(rows: DataFrame, value: Column, n: int) -> list[tuple[int, float]]:
+    """(t, value) of rows with t from 1 to n: all of a short series, the least and the greatest of each bucket of a long one."""
+    rows = rows.select("t", value.alias("v"))
+    if n > BUCKETS:
+        ends = rows.groupBy(bucket(n)).agg(F.struct(F.min_by("t", "v").alias("t"), F.min("v").alias("v")).alias("a"), F.struct(F.max_by("t", "v").alias("t"), F.max("v").alias("v")).alias("b"))
+        rows = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("p.*").where("t IS NOT NULL")
+    return sorted((r["t"], r["v"]) for r in rows.collect())
+
+
+def marks(times: DataFrame, n: int) -> list[int]:
+    """The first t of each bucket that has one."""
+    return sorted(r["t"] for r in times.groupBy(bucket(n)).agg(F.min("t").alias("t")).collect())
+
+
+def segment_means(segments: DataFrame, n: int) -> list[tuple[int, int, float]]:
+    """(start, end, mean) of rows (segment_index, t, y), of many that start in a bucket the longest."""
+    each = segments.groupBy("segment_index").agg(F.min("t").alias("t"), F.max("t").alias("end"), F.avg("y").alias("mean"))
+    one = each.groupBy(bucket(n)).agg(F.max_by(F.struct("t", "end", "mean"), F.struct(F.col("end") - F.col("t"), -F.col("t"))).alias("s"))
+    return sorted(tuple(r[0]) for r in one.select("s").collect())
+
+
+def signal_with_alarms(path: str, n: int, line, alarms, truth=()) -> None:
+    t, y = zip(*line) if line else ((), ())
+    c = Canvas("Signal and alarms", (1, max(2, n)), _span(y))
     c.verticals(list(truth), TRUTH)
     c.line(t, y)
     c.verticals(list(alarms), ALARM)
     c.save(path)
 
 
-def detector_scores(path: str, scores, threshold: float, alarms) -> None:
-    c = Canvas("Detector scores", (1, max(2, len(scores))), _span([*scores, threshold]))
-    c.line(np.arange(1, len(scores) + 1), scores)
-    c.line([1, max(2, len(scores))], [threshold, threshold], GREY)
+def detector_scores(path: str, n: int, line, threshold: float, alarms) -> None:
+    t, scores = zip(*line) if line else ((), ())
+    c = Canvas("Detector scores", (1, max(2, n)), _span([*scores, threshold]))
+    c.line(t, scores)
+    c.line([1, max(2, n)], [threshold, threshold], GREY)
     c.verticals(list(alarms), ALARM)
     c.save(path)
 
 
-def regime_posteriors(path: str, filtered) -> None:
-    f = np.asarray(filtered, float)
-    c = Canvas("Regime posteriors", (1, max(2, len(f))), (0, 1))
-    for j in range(f.shape[1] if f.ndim == 2 else 0):
-        c.line(np.arange(1, len(f) + 1), f[:, j], COLOURS[j % len(COLOURS)])
+def regime_posteriors(path: str, n: int, lines) -> None:
+    """A line for each regime."""
+    c = Canvas("Regime posteriors", (1, max(2, n)), (0, 1))
+    for j, line in enumerate(lines):
+        c.line(*(zip(*line) if line else ((), ())), COLOURS[j % len(COLOURS)])
     c.save(path)
 
 
@@ -97,13 +132,12 @@ def delay_distribution(path: str, delays) -> None:
     c.save(path)
 
 
-def segmentation(path: str, y, starts) -> None:
-    """The signal with each segment's mean."""
-    y = np.asarray(y, float)
-    c = Canvas("Segmentation", (1, max(2, len(y))), _span(y))
-    c.line(np.arange(1, len(y) + 1), y, GREY)
-    cuts = sorted({1, *starts, len(y) + 1})
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        c.line([a, b - 1], [y[a - 1 : b - 1].mean()] * 2, COLOURS[1])
-    c.verticals([s for s in starts if s > 1], ALARM)
+def segmentation(path: str, n: int, line, segments) -> None:
+    """The signal with each segment's mean; segments are (start, end, mean)."""
+    t, y = zip(*line) if line else ((), ())
+    c = Canvas("Segmentation", (1, max(2, n)), _span(y))
+    c.line(t, y, GREY)
+    for start, end, mean in segments:
+        c.line([start, end], [mean, mean], COLOURS[1])
+    c.verticals([s for s, _, _ in segments if s > 1], ALARM)
     c.save(path)

@@ -1,7 +1,7 @@
 """Runs experiments: data, features, model, online run, evaluation, export.
 
 Each stage passes a DataFrame on; the features and the filtered rows are cached, as later stages read them again. Only
-parameters, metrics and the traces that are to be written reach the driver. A stage that fails
+parameters, metrics, the delays and, a partition at a time, the traces that are to be written reach the driver. A stage that fails
 ends the run with its name and message; a failing export makes it a partial success.
 """
 
@@ -217,25 +217,7 @@ class Runner:
             if e.mode == "sim_to_real":
                 files.write_json(at("sim_to_real_summary.json"), {"calibrated": out.fit.get("calibrated"), "evaluation": out.evaluation, "notes": out.notes})
         if parts and e.output.traces:
-            steps = sorted(parts["steps"].select("t", "score", "alarm").collect(), key=lambda r: r["t"])
-            rows = sorted(parts["rows"].select("t", "y", "filtered").collect(), key=lambda r: r["t"])
-            alarms = [r["t"] for r in steps if r["alarm"]]
-            truth = sorted(r["t"] for r in parts["truth"].collect()) if parts["truth"] is not None else []
-            if e.output.csv:
-                files.write_csv(at("score_trace.csv"), ["t", "score"], [(r["t"], r["score"]) for r in steps])
-                files.write_csv(at("alarms.csv"), ["alarm_n", "t"], list(enumerate(alarms, 1)))
-                files.write_csv(at("regime_posteriors.csv"), ["t", *[f"p{j}" for j in range(parts["params"].k)]], [(r["t"], *r["filtered"]) for r in rows])
-                files.write_csv(at("loglikelihood_history.csv"), ["iteration", "log_likelihood"], list(enumerate(out.fit.get("history", []))))
-                if parts["truth"] is not None:
-                    files.write_csv(at("changepoints.csv"), ["cp_n", "t"], list(enumerate(truth, 1)))
-                else:
-                    files.write_csv(at("real_eval_summary.csv"), ["metric", "value"], list(out.evaluation.items()), 6)
-            if e.output.plots:
-                plots.signal_with_alarms(at("signal_alarms.png"), [r["y"] for r in rows], alarms, truth)
-                plots.detector_scores(at("detector_scores.png"), [r["score"] for r in steps], e.detector.threshold, alarms)
-                plots.regime_posteriors(at("regime_posteriors.png"), [r["filtered"] for r in rows])
-                plots.delay_distribution(at("delay_distribution.png"), parts["delays"])
-                plots.segmentation(at("segmentation.png"), [r["y"] for r in rows], alarms)
+            self._write_traces(e, out, parts, at)
         table = files.MetricsTable([summary_row(out)])
         for name, text in (("metrics.md", table.to_markdown()), ("metrics.csv", table.to_csv()), ("metrics.tex", table.to_latex())):
             os.makedirs(out.folder, exist_ok=True)
@@ -246,6 +228,32 @@ class Runner:
             files.write_json(at("result.json"), asdict(out))
         return out
 
+    def _write_traces(self, e: Experiment, out: Result, parts: dict, at: Callable[[str], str]) -> None:
+        """Tables go through the driver a partition at a time, plots take a thinned series."""
+        steps, rows, truth, k = parts["steps"], parts["rows"], parts["truth"], parts["params"].k
+        alarms = steps.where("alarm").select(SERIES, "t")
+
+        def in_time(df: DataFrame):
+            return df.orderBy("t").toLocalIterator()
+
+        if e.output.csv:
+            files.write_csv(at("score_trace.csv"), ["t", "score"], map(tuple, in_time(steps.select("t", "score"))))
+            files.write_csv(at("alarms.csv"), ["alarm_n", "t"], ((i, r["t"]) for i, r in enumerate(in_time(alarms), 1)))
+            files.write_csv(at("regime_posteriors.csv"), ["t", *[f"p{j}" for j in range(k)]], ((r["t"], *r["filtered"]) for r in in_time(rows.select("t", "filtered"))))
+            files.write_csv(at("loglikelihood_history.csv"), ["iteration", "log_likelihood"], enumerate(out.fit.get("history", [])))
+            if truth is not None:
+                files.write_csv(at("changepoints.csv"), ["cp_n", "t"], ((i, r["t"]) for i, r in enumerate(in_time(truth), 1)))
+            else:
+                files.write_csv(at("real_eval_summary.csv"), ["metric", "value"], out.evaluation.items(), 6)
+        if e.output.plots:
+            n = rows.agg(F.max("t")).first()[0]
+            signal, found = plots.thinned(rows, F.col("y"), n), plots.marks(alarms, n)
+            plots.signal_with_alarms(at("signal_alarms.png"), n, signal, found, plots.marks(truth, n) if truth is not None else ())
+            plots.detector_scores(at("detector_scores.png"), n, plots.thinned(steps, F.col("score"), n), e.detector.threshold, found)
+            plots.regime_posteriors(at("regime_posteriors.png"), n, [plots.thinned(rows, F.col("filtered")[j], n) for j in range(k)])
+            plots.delay_distribution(at("delay_distribution.png"), parts["delays"])
+            plots.segmentation(at("segmentation.png"), n, signal, plots.segment_means(evaluate.segments(rows.select(SERIES, "t", "y"), alarms), n))
+
     def calibrate(self, e: Experiment) -> tuple[Experiment, dict, dict, list[dict]]:
         """The experiment, the summary of its train share, the parameters calibrated to that, and the verification of what they simulate."""
         if e.mode != "synthetic":

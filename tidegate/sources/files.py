@@ -8,6 +8,7 @@ import os
 import re
 import tomllib
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -77,7 +78,7 @@ def write_json(path: str, value) -> None:
 
 
 def write_csv(path: str, header: list[str], rows, decimals: int = 8) -> None:
-    """Small result tables; floats with so many decimals, null as nothing."""
+    """Result tables, a row at a time; floats with so many decimals, null as nothing."""
 
     def cell(x) -> str:
         if x is None:
@@ -88,7 +89,9 @@ def write_csv(path: str, header: list[str], rows, decimals: int = 8) -> None:
         return '"' + text.replace('"', '""') + '"' if re.search(r'[",\n]', text) else text
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    Path(path).write_text("".join(",".join(map(cell, r)) + "\n" for r in [header, *rows]), encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as f:
+        for r in chain([header], rows):
+            f.write(",".join(map(cell, r)) + "\n")
 
 
 def safe_name(text: str) -> str:
