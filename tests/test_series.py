@@ -3,6 +3,7 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,40 @@ def test_stream_equals_batch(spark, observed, tmp_path):
     assert got == {(r["series_id"], r["t"]): r["alarm"] for r in detect.alarms(hmm.filter_rows(observed, P, True), d).collect()}
 
 
+def test_rows_of_one_instant_are_steps_of_their_own(spark, observed, tmp_path):
+    d = K.Detector("surprise", 2.0, 1, 2, 0.3)
+    tied = observed.withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    got = {(r["series_id"], r["t"]): r for r in online.replay(tied, P, d, f"file://{tmp_path}", 3).collect()}
+    want = {(r["series_id"], r["t"]): r for r in detect.alarms(hmm.filter_rows(tied, P, True), d).collect()}
+    assert set(got) == set(want) and len(got) == 900
+    assert [got[k]["alarm"] for k in sorted(got)] == [want[k]["alarm"] for k in sorted(got)]
+    np.testing.assert_allclose([got[k]["score"] for k in sorted(got)], [want[k]["score"] for k in sorted(got)], atol=1e-9)
+
+
+def test_sessions_start_anew_and_late_rows_go(spark):
+    class Handle:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+        getValueState = lambda self, name, kind: self
+
+        def update(self, kept):
+            self.kept = kept
+
+    rng, d = np.random.default_rng(5), K.Detector("leave_previous", 0.3, 1, 3)
+    ts = [at(i, day) for day in (2, 3) for i in range(5)]
+    rows = pd.DataFrame({"ts": ts, "y": rng.standard_normal(10) * 3})
+    whole, cut = (online.OnlineProcessor(P, d, True) for _ in range(2))
+    [p.init(Handle()) for p in (whole, cut)]
+    one = [r for x in whole.handleInputRows(("a",), iter([rows]), None) for r in x.to_dict("records")]
+    # the second call sees two rows again that are late by then
+    two = [r for part in (rows[:7], rows.drop(index=[2, 3, 4, 5, 6])) for x in cut.handleInputRows(("a",), iter([part]), None) for r in x.to_dict("records")]
+    assert [r["t"] for r in one] == [1, 2, 3, 4, 5, 1, 2, 3, 4, 5] == [r["t"] for r in two]
+    assert [r["alarm"] for r in one] == [r["alarm"] for r in two]
+    session = online.Session(P, d)
+    assert [r["score"] for r in one[:5]] == pytest.approx([r["score"] for r in session.run(rows["y"][:5])])
+
+
 def test_route_a_point(spark):
     rows = [("a", i, dt.datetime(2024, 1, i), 1.0) for i in range(1, 11)]
     b = spark.createDataFrame(rows, "series_id string, t bigint, ts timestamp_ntz, value double")
