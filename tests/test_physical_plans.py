@@ -48,3 +48,9 @@ def test_as_of_sorts_once_and_joins_nothing(spark):
     bars = Q.eval_bars(spark, SF)
     text = plan(evaluate.as_of(Q.eval_events(spark, SF).select("series_id", "id", Q.F.col("start").alias("at")), bars))
     assert "Join" not in text
+
+
+@pytest.mark.parametrize("name, sorts", [("calibration_verify", 4), ("empirical_summary", 8)])
+def test_summaries_sort_the_rows_few_times(spark, name, sorts):
+    """All sorts of a series may lie in one task, and each holds a page of memory at least."""
+    assert len(re.findall(r"\bSort \[", plan(Q.QUERIES[name](spark, SF)))) <= sorts

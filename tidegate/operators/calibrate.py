@@ -7,13 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import finite, ratio
 from .clean import SERIES
-from .evaluate import lag1
 from .hmm import PARAMS, params_of
 
 #: Fixed value: standard deviations between the median and the 95 % quantile of a normal distribution, as used for quantile anchors.
@@ -21,36 +20,66 @@ Z95 = 1.64485
 SUMMARY = ("n", "mean", "variance", "std_dev", "q01", "q05", "q50", "q95", "q99", "tail_freq_q95", "abs_exceed_2std", "acf1", "abs_acf1", "sign_change_rate", "high_episode_mean", "low_episode_mean")
 
 
+def _paired(obs: DataFrame, *by: str) -> DataFrame:
+    """obs with b, the value before, in each series (and group of the columns `by`)."""
+    return obs.select(SERIES, *by, "t", "y", F.lag("y").over(Window.partitionBy(SERIES, *by).orderBy("t")).alias("b"))
+
+
+def _sign_changes() -> tuple[Column, Column]:
+    """(changes, pairs that count) of rows (y, b)."""
+    counts = (F.col("y") != 0) & (F.col("b") != 0) & F.col("b").isNotNull()
+    return F.sum((counts & ((F.col("y") > 0) != (F.col("b") > 0))).cast("long")), F.sum(counts.cast("long"))
+
+
+def _episodes(threshold: Column) -> tuple[Column, Column]:
+    """Mean lengths of runs of |y| above, and not above, |threshold| of rows (y, b): rows over first rows of runs; 0 without such runs."""
+    high, before = F.abs("y") > F.abs(threshold), F.abs("b") > F.abs(threshold)
+    first = F.coalesce(before != high, F.lit(True))
+    n = lambda c: F.sum(c.cast("long"))
+    return tuple(F.coalesce(n(c) / F.nullif(n(c & first), F.lit(0).cast("long")), F.lit(0.0)) for c in (high, ~high))
+
+
 def sign_change_rate(obs: DataFrame) -> DataFrame:
     """(series_id, sign_change_rate): share of neighbours with unlike signs; pairs with a zero don't count, none at all gives 0."""
-    before = F.lag("y").over(Window.partitionBy(SERIES).orderBy("t"))
-    pairs = obs.select(SERIES, "y", before.alias("b"))
-    counts = (F.col("y") != 0) & (F.col("b") != 0) & F.col("b").isNotNull()
-    out = pairs.groupBy(SERIES).agg(F.sum(counts.cast("long")).alias("n"), F.sum((counts & ((F.col("y") > 0) != (F.col("b") > 0))).cast("long")).alias("c"))
-    return out.select(SERIES, ratio("c", "n", 0.0).alias("sign_change_rate"))
+    c, n = _sign_changes()
+    return _paired(obs).groupBy(SERIES).agg(n.alias("n"), c.alias("c")).select(SERIES, ratio("c", "n", 0.0).alias("sign_change_rate"))
 
 
 def episode_means(obs: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(series_id, high_episode_mean, low_episode_mean): mean lengths of runs of |y| above, and not above, |threshold|; 0 without such runs."""
-    w = Window.partitionBy(SERIES).orderBy("t")
-    rows = obs.join(thresholds.select(SERIES, F.abs("threshold").alias("th")), SERIES).select(SERIES, "t", (F.abs("y") > F.col("th")).alias("high"))
-    rows = rows.withColumn("new", F.coalesce(F.lag("high").over(w) != F.col("high"), F.lit(True)).cast("long"))
-    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(SERIES, "run", "high").agg(F.count("*").alias("len"))
-    return runs.groupBy(SERIES).agg(F.coalesce(F.avg(F.when(F.col("high"), F.col("len"))), F.lit(0.0)).alias("high_episode_mean"), F.coalesce(F.avg(F.when(~F.col("high"), F.col("len"))), F.lit(0.0)).alias("low_episode_mean"))
+    high, low = _episodes(F.col("threshold"))
+    return _paired(obs).join(thresholds.select(SERIES, "threshold"), SERIES).groupBy(SERIES).agg(high.alias("high_episode_mean"), low.alias("low_episode_mean"))
+
+
+#: What moments gives of SUMMARY.
+MOMENTS = ("n", "mean", "variance", "std_dev", "q01", "q05", "q50", "q95", "q99", "acf1", "abs_acf1", "sign_change_rate")
+
+
+def moments(obs: DataFrame, *by: str) -> DataFrame:
+    """One row a series (and group of the columns `by`) with MOMENTS, of the finite values in the order of t: one window and one aggregate.
+
+    The sum of products about the mean, over neighbours, comes from their covariance and the distance of their means from the mean of all."""
+    keys = (SERIES, *by)
+    rows = _paired(obs.where(finite("y")), *by).withColumns({"s": F.abs("y"), "sb": F.abs("b")})
+    qs = F.percentile("y", F.array(*[F.lit(q) for q in (0.01, 0.05, 0.5, 0.95, 0.99)]))
+    changes, pairs = _sign_changes()
+    lags = [x for y, b, c in (("y", "b", "acf"), ("s", "sb", "abs")) for x in (F.avg(y).alias(f"{c}_m"), F.var_pop(y).alias(f"{c}_v"), F.covar_pop(y, b).alias(f"{c}_c"), F.avg(F.when(F.col(b).isNotNull(), F.col(y))).alias(f"{c}_y"), F.avg(b).alias(f"{c}_b"))]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("y").alias("std_dev"), qs.alias("q"), F.count("b").alias("np"), changes.alias("changes"), pairs.alias("pairs"), *lags)
+
+    def lagged(c: str) -> Column:
+        num = F.col("np") * (F.col(f"{c}_c") + (F.col(f"{c}_y") - F.col(f"{c}_m")) * (F.col(f"{c}_b") - F.col(f"{c}_m")))
+        return F.coalesce(ratio(num, F.col("n") * F.col(f"{c}_v")), F.lit(0.0))
+
+    return out.select(*keys, "n", F.col("acf_m").alias("mean"), F.col("acf_v").alias("variance"), "std_dev", *[F.col("q")[i].alias(c) for i, c in enumerate(MOMENTS[4:9])], lagged("acf").alias("acf1"), lagged("abs").alias("abs_acf1"), ratio("changes", "pairs", 0.0).alias("sign_change_rate"))
 
 
 def empirical_summary(obs: DataFrame) -> DataFrame:
     """One row a series with SUMMARY, of the finite values in the order of t. A series without finite value has no row."""
-    rows = obs.where(finite("y")).select(SERIES, "t", "y")
-    qs = F.percentile("y", F.array(*[F.lit(q) for q in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-    base = rows.groupBy(SERIES).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("variance"), F.stddev_pop("y").alias("std_dev"), qs.alias("q"))
-    base = base.select(SERIES, "n", "mean", "variance", "std_dev", *[F.col("q")[i].alias(c) for i, c in enumerate(("q01", "q05", "q50", "q95", "q99"))])
-    tails = rows.join(base.select(SERIES, "q95", "std_dev"), SERIES).groupBy(SERIES).agg(F.avg((F.col("y") > F.col("q95")).cast("double")).alias("tail_freq_q95"), F.avg(((F.col("std_dev") > 0) & (F.abs("y") > 2 * F.col("std_dev"))).cast("double")).alias("abs_exceed_2std"))
-    acf = lag1([SERIES], rows, undefined=F.lit(0.0))
-    abs_acf = lag1([SERIES], rows.withColumn("y", F.abs("y")), undefined=F.lit(0.0)).withColumnRenamed("acf1", "abs_acf1")
-    episodes = episode_means(rows, base.select(SERIES, F.col("q95").alias("threshold")))
-    return base.join(tails, SERIES).join(acf, SERIES).join(abs_acf, SERIES).join(sign_change_rate(rows), SERIES).join(episodes, SERIES).select(SERIES, *SUMMARY)
+    base = moments(obs)
+    rows = _paired(obs.where(finite("y"))).join(base.select(SERIES, "q95", "std_dev"), SERIES)
+    high, low = _episodes(F.col("q95"))
+    tails = rows.groupBy(SERIES).agg(F.avg((F.col("y") > F.col("q95")).cast("double")).alias("tail_freq_q95"), F.avg(((F.col("std_dev") > 0) & (F.abs("y") > 2 * F.col("std_dev"))).cast("double")).alias("abs_exceed_2std"), high.alias("high_episode_mean"), low.alias("low_episode_mean"))
+    return base.join(tails, SERIES).select(SERIES, *SUMMARY)
 
 
 @dataclass(frozen=True)
@@ -183,23 +212,39 @@ def calibrated_params(obs: DataFrame, m: Mapping) -> DataFrame:
 TOLERANCES = (("mean", 0.25, False), ("variance", 0.50, True), ("q05", 0.30, False), ("q95", 0.30, False), ("abs_acf1", 0.20, False), ("sign_change_rate", 0.20, False))
 
 
-def scale_check(real: DataFrame, synthetic: DataFrame, limit: float = 0.10) -> DataFrame:
-    """(series_id, real_std, synthetic_std, relative_error, ok)."""
-    rows = real.select(SERIES, F.col("std_dev").alias("real_std")).join(synthetic.select(SERIES, F.col("std_dev").alias("synthetic_std")), SERIES)
+def halves(groups: DataFrame, fields: tuple[str, ...], of: str, real, synthetic) -> DataFrame:
+    """(series_id, r_*, s_*) of summaries by (series_id, of), for series with both the real and the synthetic group, without a join."""
+    pick = lambda g: F.max(F.when(F.col(of) == g, F.struct(*fields)))
+    both = groups.groupBy(SERIES).agg(pick(real).alias("r"), pick(synthetic).alias("s")).where("r IS NOT NULL AND s IS NOT NULL")
+    return both.select(SERIES, *[F.col(f"{x}.{f}").alias(f"{x}_{f}") for x in "rs" for f in fields])
+
+
+def joined(real: DataFrame, synthetic: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(series_id, r_*, s_*) of a real and a synthetic summary."""
+    r, s = (df.select(SERIES, *[F.col(f).alias(f"{x}_{f}") for f in fields]) for x, df in (("r", real), ("s", synthetic)))
+    return r.join(s, SERIES)
+
+
+def scale_check(both: DataFrame, limit: float = 0.10) -> DataFrame:
+    """(series_id, real_std, synthetic_std, relative_error, ok) of (series_id, r_std_dev, s_std_dev)."""
+    rows = both.select(SERIES, F.col("r_std_dev").alias("real_std"), F.col("s_std_dev").alias("synthetic_std"))
     error = ratio(F.abs(F.col("synthetic_std") - F.col("real_std")), F.col("real_std"), float("inf"))
     return rows.select(SERIES, "real_std", "synthetic_std", error.alias("relative_error"), (error <= limit).alias("ok"))
 
 
-def verify(real: DataFrame, synthetic: DataFrame, m: Mapping | None = None, tolerances=TOLERANCES) -> DataFrame:
-    """(series_id, field, real, synthetic, error, tolerance, ok): fields that the mapping doesn't aim at (the mean if zero-centred, the persistence
-    figures after a quick fit) are left out."""
+#: What verify compares.
+FIELDS = tuple(f for f, _, _ in TOLERANCES)
+
+
+def verify(both: DataFrame, m: Mapping | None = None, tolerances=TOLERANCES) -> DataFrame:
+    """(series_id, field, real, synthetic, error, tolerance, ok) of (series_id, r_*, s_*): fields that the mapping doesn't aim at (the mean if
+    zero-centred, the persistence figures after a quick fit) are left out."""
     masked = set()
     if m is not None and m.strategy == "quick_em":
         masked = {"abs_acf1", "sign_change_rate"}
     elif m is not None and m.means == "zero_centered":
         masked = {"mean"}
     used = [t for t in tolerances if t[0] not in masked]
-    both = real.select(SERIES, *[F.col(f).alias(f"r_{f}") for f, _, _ in used]).join(synthetic.select(SERIES, *[F.col(f).alias(f"s_{f}") for f, _, _ in used]), SERIES)
 
     def cell(f: str, tol: float, relative: bool):
         diff = F.abs(F.col(f"s_{f}") - F.col(f"r_{f}"))
@@ -220,4 +265,4 @@ def workflow(obs: DataFrame, m: Mapping, seed: int = 42, jump_prob: float = 0.0,
         return pd.DataFrame({SERIES: r[SERIES], "t": np.arange(1, len(y) + 1), "state": states, "y": y})
 
     simulated = params.groupBy(SERIES).applyInPandas(body, f"{SERIES} string, t bigint, state bigint, y double")
-    return params, simulated, verify(empirical_summary(obs), empirical_summary(simulated), m)
+    return params, simulated, verify(joined(moments(obs), moments(simulated), FIELDS), m)

@@ -169,8 +169,8 @@ class Runner:
         mapping = replace(e.data.mapping, k=e.model.k)
         params = hmm.params_of(calibrate.calibrated_params(source, mapping).first())
         states = self._synthetic(replace(e, data=replace(e.data, horizon=mapping.horizon)), params)
-        real, syn = (calibrate.empirical_summary(x.withColumn(SERIES, F.lit("x"))) for x in (source, states))
-        check = calibrate.scale_check(real, syn).first()
+        real, syn = (calibrate.moments(x.withColumn(SERIES, F.lit("x"))) for x in (source, states))
+        check = calibrate.scale_check(calibrate.joined(real, syn, ("std_dev",))).first()
         out.notes.append(f"scale check: real {check['real_std']:.6f}, synthetic {check['synthetic_std']:.6f}, error {check['relative_error']:.4f}, {'ok' if check['ok'] else 'beyond the limit'}")
         out.fit["calibrated"] = params.row()
         all_ = features.numbered(features.raw(bars, f))

@@ -891,18 +891,20 @@ FIELDS = f"""fields AS (SELECT series_id, h, avg(y) AS mean, var_pop(y) AS varia
   FROM (SELECT *, lead(e) OVER hw AS en, lag(y) OVER hw AS p FROM (SELECT series_id, t, t % 2 AS h, y, abs(y) - avg(abs(y)) OVER (PARTITION BY series_id, t % 2) AS e FROM obs) WINDOW hw AS (PARTITION BY series_id, h ORDER BY t)) GROUP BY 1, 2)"""
 
 
+def half_moments(spark, sf_dir, fields: tuple[str, ...]) -> DataFrame:
+    """Summaries of the rows of even and of odd t, side by side: both halves in one pass."""
+    rows = obs(spark, sf_dir).withColumn("half", F.col("t") % 2)
+    return calibrate.halves(calibrate.moments(rows, "half"), fields, "half", 0, 1)
+
+
 @query("calibration_verify", f"WITH {OBS}, {FIELDS}, f AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS field, r.{c} AS a, s.{c} AS b, {'abs(s.variance - r.variance) / greatest(abs(r.variance), 1e-12)' if c == 'variance' else f'abs(s.{c} - r.{c})'} AS e, {tol}::DOUBLE AS tol FROM (FROM fields WHERE h = 0) r JOIN (FROM fields WHERE h = 1) s USING (series_id)" for c, tol in (("mean", 0.25), ("variance", 0.5), ("q05", 0.3), ("q95", 0.3), ("abs_acf1", 0.2), ("sign_change_rate", 0.2))) + f") SELECT series_id, field, {R('a')} AS real, {R('b')} AS synthetic, {R('e')} AS error, tol AS tolerance, e <= tol AS ok FROM f")
 def calibration_verify(spark, sf_dir):
-    rows = obs(spark, sf_dir)
-    real, syn = (calibrate.empirical_summary(rows.where(F.col("t") % 2 == i)) for i in (0, 1))
-    return neat(calibrate.verify(real, syn))
+    return neat(calibrate.verify(half_moments(spark, sf_dir, calibrate.FIELDS)))
 
 
 @query("scale_check", f"WITH {OBS}, {HALVES} SELECT series_id, {R('r.sd')} AS real_std, {R('s.sd')} AS synthetic_std, {R('abs(s.sd - r.sd) / r.sd')} AS relative_error, abs(s.sd - r.sd) / r.sd <= 0.10 AS ok FROM real r JOIN syn s USING (series_id)")
 def scale_check(spark, sf_dir):
-    rows = obs(spark, sf_dir)
-    real, syn = (calibrate.empirical_summary(rows.where(F.col("t") % 2 == i)) for i in (0, 1))
-    return neat(calibrate.scale_check(real, syn))
+    return neat(calibrate.scale_check(half_moments(spark, sf_dir, ("std_dev",))))
 
 
 @query("calibration_workflow")
