@@ -50,7 +50,7 @@ def test_as_of_sorts_once_and_joins_nothing(spark):
     assert "Join" not in text
 
 
-@pytest.mark.parametrize("name, sorts", [("calibration_verify", 4), ("empirical_summary", 8)])
+@pytest.mark.parametrize("name, sorts", [("calibration_verify", 4), ("scale_check", 4), ("empirical_summary", 8)])
 def test_summaries_sort_the_rows_few_times(spark, name, sorts):
     """All sorts of a series may lie in one task, and each holds a page of memory at least."""
     assert len(re.findall(r"\bSort \[", plan(Q.QUERIES[name](spark, SF)))) <= sorts
