@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -148,3 +149,40 @@ def test_scores_resumed_at_any_cut_equal_those_of_one_pass(kind, alpha):
             before = filtered[b - 1]
         for want, got in zip(whole, zip(*parts)):
             assert np.array_equal(want, np.concatenate(got))
+
+
+@pytest.mark.parametrize("k, n", [(2, 1), (2, 2), (2, 3), (2, 50), (3, 997), (2, 1024), (3, 4096), (2, 5000)])
+def test_a_step_in_blocks_equals_the_plain_one(k, n):
+    rng = np.random.default_rng(n)
+    y = rng.standard_normal(n) * (1 + 3 * (np.arange(n) % 40 < 10))
+    p = K.initial_params(y, k)
+    p = K.Params(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), p.means, p.variances + 0.1)
+    f = K.forward_filter(p, y)
+    s = K.smooth(p, f)
+    want = K.m_step(y, s, K.pairwise(p, f, s).sum(0), p)
+    blocks = K.Blocks(y, k)
+    assert blocks.forward(p) == pytest.approx(f.log_likelihood, rel=1e-12)
+    got = blocks.update(p)
+    for a, b in zip((got.pi, got.transition, got.means, got.variances), (want.pi, want.transition, want.means, want.variances)):
+        np.testing.assert_allclose(a, b, atol=1e-10)
+
+
+def test_blocks_leave_vanishing_sums_to_the_log_domain():
+    y = np.array([0.0, 0.1, 60.0, 0.0, 0.2, -0.1])
+    p = K.Params([1.0, 0.0], [[1.0, 0.0], [0.5, 0.5]], [0.0, 60.0], [1.0, 1.0])
+    assert K.Blocks(y, 2).forward(p) is None
+    fit = K.fit_em(y, p, max_iter=3)
+    assert fit.history[0] == K.forward_filter(p, y).log_likelihood and np.isfinite(fit.history).all()
+
+
+def test_a_step_of_a_long_series_is_quick():
+    """At 60 times sf0.1 a series has 1.2 million rows, and a fit some hundred steps."""
+    y = np.random.default_rng(1).standard_normal(300_000)
+    p = K.initial_params(y, 2)
+    f, t = K.forward_filter(p, y), time.process_time()
+    s = K.smooth(p, f)
+    K.m_step(y, s, K.pairwise(p, f, s).sum(0), p)
+    K.forward_filter(p, y)
+    plain, t = time.process_time() - t, time.process_time()
+    K.fit_em(y, p, 0.0, 4)
+    assert (time.process_time() - t) / 4.5 < plain / 2

@@ -169,19 +169,140 @@ def pairwise(p: Params, f: Filtered, smoothed: np.ndarray) -> np.ndarray:
     return f.filtered[:-1, :, None] * p.transition[None] * ratio[:, None, :]
 
 
-def m_step(y: np.ndarray, smoothed: np.ndarray, expected: np.ndarray, old: Params, floor: float = VARIANCE_FLOOR) -> Params:
-    """Closed-form update; regimes or rows without weight keep their values."""
-    y = np.asarray(y, float)
-    pi = smoothed[0] / smoothed[0].sum()
-    leave = smoothed[:-1].sum(0)
+def _updated(first: np.ndarray, leave: np.ndarray, expected: np.ndarray, weight: np.ndarray, sums: np.ndarray, squares, old: Params, floor: float) -> Params:
+    """Closed-form update from the sums over a series; squares(means) sums the weighted squares about them. Regimes or rows without weight keep their values."""
     rows = np.where(leave[:, None] < WEIGHT_FLOOR, old.transition, expected / np.maximum(leave, WEIGHT_FLOOR)[:, None])
     rows = rows / rows.sum(1, keepdims=True)
-    weight = smoothed.sum(0)
     has = weight >= WEIGHT_FLOOR
     safe = np.where(has, weight, 1.0)
-    means = np.where(has, smoothed.T @ y / safe, old.means)
-    spread = (smoothed * (y[:, None] - means) ** 2).sum(0) / safe
-    return Params(pi, rows, means, np.where(has, np.maximum(spread, floor), old.variances))
+    means = np.where(has, sums / safe, old.means)
+    return Params(first / first.sum(), rows, means, np.where(has, np.maximum(squares(means) / safe, floor), old.variances))
+
+
+def m_step(y: np.ndarray, smoothed: np.ndarray, expected: np.ndarray, old: Params, floor: float = VARIANCE_FLOOR) -> Params:
+    """Closed-form update; regimes or rows without weight keep their values."""
+    y = np.asarray(y, float)
+    return _updated(smoothed[0], smoothed[:-1].sum(0), expected, smoothed.sum(0), smoothed.T @ y, lambda means: (smoothed * (y[:, None] - means) ** 2).sum(0), old, floor)
+
+
+#: Steps after which products are scaled, and the least sum that a scaled step may have here.
+SCALE_EACH, LEAST_SUM = 16, 1e-100
+
+
+class Blocks:
+    """A series dealt into blocks for a step of EM: arrays have the axes (regime, place in the block, block), so each of a block's
+    steps is one small matrix product over all blocks, side by side in memory. The places behind the series' end have weight one, which
+    leaves the backward recursion as it is, and don't count in sums.
+
+    Where a sum nearly vanishes the results are None; forward_filter, smooth and m_step have the log domain for that."""
+
+    def __init__(self, y: np.ndarray, k: int):
+        self.t, self.k = len(y), k
+        self.length = max(1, int(math.sqrt(self.t) / 2))
+        self.blocks = -(-self.t // self.length)
+        self.rest = self.blocks * self.length - self.t
+        self.y = np.ascontiguousarray(np.concatenate((y, np.zeros(self.rest))).reshape(self.blocks, self.length).T)
+        shape = (k, self.length, self.blocks)
+        self.w, self.f, self.h = np.empty(shape), np.empty(shape), np.empty(shape)
+
+    def _end(self, x: np.ndarray, value: float) -> None:
+        if self.rest:
+            x[..., self.length - self.rest :, -1] = value
+
+    @staticmethod
+    def _chain(products: np.ndarray, start: list[float]) -> np.ndarray | None:
+        """What reaches each block: products (from, to, block) one after the other, as columns."""
+        out, v, k = [], start, range(len(start))
+        for m in products.transpose(2, 1, 0).tolist():
+            out.append(v)
+            v = [sum(v[i] * row[i] for i in k) for row in m]
+            total = sum(v)
+            if not 0 < total < math.inf:
+                return None
+            v = [x / total for x in v]
+        return np.ascontiguousarray(np.array(out).T)
+
+    def forward(self, p: Params) -> float | None:
+        """The log-likelihood; keeps the filtered probabilities and the weights over their sums."""
+        k, n = self.k, self.blocks
+        w = self.w
+        for j in range(k):
+            np.subtract(self.y, p.means[j], out=w[j])
+            np.multiply(w[j], w[j], out=w[j])
+            w[j] *= -0.5 / p.variances[j]
+            w[j] += -HALF_LN_2PI - 0.5 * math.log(p.variances[j])
+        shift = w.max(0)
+        np.subtract(w, shift, out=w)
+        np.exp(w, out=w)
+        self._end(w, 1.0)
+        self._end(shift, 0.0)
+        to = np.ascontiguousarray(p.transition.T)
+        whole, scratch = np.zeros((k, k, n)), np.empty((k, k, n))  # (to, from, block)
+        whole[range(k), range(k)] = 1.0
+        for i in range(self.length):
+            np.matmul(to, whole.reshape(k, -1), out=scratch.reshape(k, -1))
+            if i == 0:
+                scratch[:, :, 0] = np.eye(k)  # pi is the first prediction
+            np.multiply(scratch, w[:, i, None, :], out=whole)
+            if i % SCALE_EACH == SCALE_EACH - 1:
+                top = whole.max((0, 1))
+                if not top.min() > LEAST_SUM:
+                    return None
+                whole /= top
+        now = self._chain(whole.transpose(1, 0, 2), p.pi.tolist())
+        if now is None:
+            return None
+        c, u = np.empty((self.length, n)), np.empty((k, n))
+        for i in range(self.length):
+            np.matmul(to, now, out=u)
+            if i == 0:
+                u[:, 0] = p.pi
+            np.multiply(u, w[:, i], out=u)
+            np.add.reduce(u, 0, out=c[i])
+            now = self.f[:, i]
+            np.divide(u, c[i], out=now)
+        if not (c.min() > LEAST_SUM and np.isfinite(c).all()):
+            return None
+        self._end(c, 1.0)
+        w /= c
+        return float(np.log(c, out=c).sum() + shift.sum())
+
+    def update(self, p: Params, floor: float = VARIANCE_FLOOR) -> Params | None:
+        """The parameters after the step whose forward half went before."""
+        k, n, e, f, h = self.k, self.blocks, self.w, self.f, self.h
+        tr = np.ascontiguousarray(p.transition)
+        whole, scratch = np.zeros((k, k, n)), np.empty((k, k, n))  # (from, to, block)
+        whole[range(k), range(k)] = 1.0
+        for i in range(self.length - 1, -1, -1):
+            np.multiply(whole, e[:, i, None, :], out=scratch)
+            np.matmul(tr, scratch.reshape(k, -1), out=whole.reshape(k, -1))
+        if not np.isfinite(whole).all():
+            return None
+        behind = self._chain(whole[:, :, ::-1].transpose(1, 0, 2), [1.0 / k] * k)
+        if behind is None:
+            return None
+        behind = np.ascontiguousarray(behind[:, ::-1])
+        behind /= (behind * f[:, -1]).sum(0) if not self.rest else np.append((behind * f[:, -1]).sum(0)[:-1], behind[0, -1])
+        for i in range(self.length - 1, -1, -1):
+            # h becomes the backward sums ahead of a row's own weight; with it, behind it
+            now = h[:, i]
+            now[...] = behind
+            behind = np.matmul(tr, now * e[:, i])
+        self._end(f, 0.0)
+        gamma = f * h
+        total = gamma.sum(0)
+        self._end(total, 1.0)
+        if not (total.min() > 0 and np.isfinite(total).all()):
+            return None
+        gamma /= total
+        np.multiply(h, e, out=h)
+        self._end(h, 0.0)
+        inside, across = f[:, :-1].reshape(k, -1), f[:, -1, :-1]
+        expected = p.transition * (inside @ h[:, 1:].reshape(k, -1).T + across @ h[:, 0, 1:].T)
+        flat, y = gamma.reshape(k, -1), self.y.ravel()
+        weight = flat.sum(1)
+        last = gamma[:, (self.t - 1) % self.length, -1]
+        return _updated(gamma[:, 0, 0], weight - last, expected, weight, flat @ y, lambda means: np.array([g @ (y - m) ** 2 for g, m in zip(flat, means)]), p, floor)
 
 
 def initial_params(y: np.ndarray, k: int) -> Params:
@@ -219,14 +340,26 @@ def fit_em(y: np.ndarray, start: Params, tol: float = 1e-6, max_iter: int = 1000
     """Baum-Welch until the log-likelihood changes by less than tol."""
     y = np.asarray(y, float)
     p = start.check()
-    f = forward_filter(p, y)
-    out = Fit(p, [f.log_likelihood])
+    if not len(y) or not np.isfinite(y).all():
+        raise ModelError("observations must be there and finite")
+    blocks = Blocks(y, p.k)
+
+    def forward() -> tuple[float, Filtered | None]:
+        got = blocks.forward(p)
+        return (got, None) if got is not None else ((f := forward_filter(p, y)).log_likelihood, f)
+
+    ll, f = forward()
+    out = Fit(p, [ll])
     for _ in range(max_iter):
-        s = smooth(p, f)
-        p = m_step(y, s, pairwise(p, f, s).sum(0), p, floor)
-        f = forward_filter(p, y)
+        new = blocks.update(p, floor) if f is None else None
+        if new is None:
+            f = f or forward_filter(p, y)
+            s = smooth(p, f)
+            new = m_step(y, s, pairwise(p, f, s).sum(0), p, floor)
+        p = new
+        ll, f = forward()
         out.params = p
-        out.history.append(f.log_likelihood)
+        out.history.append(ll)
         if abs(out.history[-1] - out.history[-2]) < tol:
             out.converged = True
             break
