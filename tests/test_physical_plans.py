@@ -54,3 +54,8 @@ def test_as_of_sorts_once_and_joins_nothing(spark):
 def test_summaries_sort_the_rows_few_times(spark, name, sorts):
     """All sorts of a series may lie in one task, and each holds a page of memory at least."""
     assert len(re.findall(r"\bSort \[", plan(Q.QUERIES[name](spark, SF)))) <= sorts
+
+
+def test_warnings_read_fits_and_regimes_once(spark):
+    text = plan(Q.QUERIES["diagnostic_warnings"](spark, SF))
+    assert len(re.findall(r"FlatMapGroupsInPandas ", text)) == 2

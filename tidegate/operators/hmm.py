@@ -236,19 +236,25 @@ NEAR_ZERO_VARIANCE, RARE_SHARE, ABSORBING, UNSTABLE_SPREAD, DROP_TOL = 1e-4, 0.0
 
 def warnings(fits: DataFrame, regimes: DataFrame) -> DataFrame:
     """(series_id, kind, regime, value) of what is suspect about fits: variances near zero, regimes hardly used or never left, lost likelihood, starts that disagree."""
-    none = F.lit(None).cast("int")
-    regime = F.col("regime").cast("int")
-    parts = [
-        regimes.where(F.col("variance") < NEAR_ZERO_VARIANCE).select(SERIES, F.lit("near_zero_variance").alias("kind"), regime.alias("regime"), F.col("variance").alias("value")),
-        regimes.where(F.col("occupancy") < RARE_SHARE).select(SERIES, F.lit("nearly_unused_regime"), regime, "occupancy"),
-        regimes.where(F.col("self_prob") > ABSORBING).select(SERIES, F.lit("suspicious_persistence"), regime, "self_prob"),
-        convergence(fits).where("NOT monotone").select(SERIES, F.lit("em_non_monotonicity"), none, "largest_drop"),
-        compare_runs(fits).where("unstable").select(SERIES, F.lit("unstable_across_starts"), none, "spread"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    def found(rows: DataFrame, lists: Column) -> DataFrame:
+        return rows.select(SERIES, F.explode(lists).alias("w")).select(SERIES, "w.*")
+
+    def warn(kind: str, value, regime: Column | None = None) -> Column:
+        regime = F.lit(None) if regime is None else regime
+        return F.struct(F.lit(kind).alias("kind"), regime.cast("int").alias("regime"), value.alias("value"))
+
+    def where(c: Column, x: Column) -> Column:
+        return F.when(c, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
+
+    # fits and regimes are read once each: what they come from takes long, and a union would run it for each of its parts
+    v, o, p = F.col("variance"), F.col("occupancy"), F.col("self_prob")
+    of_regime = [(v < NEAR_ZERO_VARIANCE, "near_zero_variance", v), (o < RARE_SHARE, "nearly_unused_regime", o), (p > ABSORBING, "suspicious_persistence", p)]
+    steps = F.transform(F.sequence(F.lit(1), F.size("history") - 1), lambda i: F.get("history", i) - F.get("history", i - 1))
+    least = F.when(F.size("history") > 1, F.array_min(steps))
+    runs = fits.select(SERIES, "log_likelihood", least.alias("least")).groupBy(SERIES)
+    runs = runs.agg((F.max("log_likelihood") - F.min("log_likelihood")).alias("spread"), F.collect_list(F.when(~(F.col("least") >= -DROP_TOL), -F.col("least"))).alias("drops"))
+    of_runs = F.concat(F.transform("drops", lambda x: warn("em_non_monotonicity", x)), where(F.col("spread") > UNSTABLE_SPREAD, warn("unstable_across_starts", F.col("spread"))))
+    return found(regimes, F.concat(*[where(c, warn(kind, x, F.col("regime"))) for c, kind, x in of_regime])).unionByName(found(runs, of_runs))
 
 
 REGIME = "struct<regime:int,occupancy:double,hard_count:bigint,self_prob:double,expected_duration:double,mean:double,variance:double>"
