@@ -239,3 +239,19 @@ def test_store_of_days_becomes_one_of_timestamps(spark, tmp_path):
     assert s.prepare() == ["prices: finished"] and s.status().count() == 2
     s.replace(spark.createDataFrame([("wti", "daily", "W", "USD", dt.datetime(2024, 3, 1), 9.0)], vendor.SERIES_SCHEMA), "2024-03-02 00:00:00")
     assert s.load("wti", "daily").first()["value"] == 9.0 and s.prepare() == []
+
+
+def test_regimes_equal_the_summary_of_smoothed_rows(observed):
+    key = lambda r: (r["series_id"], r["regime"])
+    got, want = (sorted(df.collect(), key=key) for df in (hmm.regimes(observed, P), hmm.regime_summary(hmm.smooth_rows(observed, P), P)))
+    assert [(*key(r), r["hard_count"]) for r in got] == [(*key(r), r["hard_count"]) for r in want] and len(got) == 6
+    for c in ("occupancy", "self_prob", "expected_duration", "mean", "variance"):
+        np.testing.assert_allclose([r[c] for r in got], [r[c] for r in want], atol=1e-12)
+
+
+def test_warnings_of_fits_are_one_for_each_start_and_series(spark):
+    p = ([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [-1.0, 1.0], [1.0, 1.0])
+    rows = [("a", 0, 2, *p, -50.0, 2, True, [-60.0, -49.0, -50.0]), ("a", 1, 2, *p, -48.0, 1, True, [-47.5, -48.0]), ("b", 0, 2, *p, -5.0, 0, False, [-5.0])]
+    none = spark.createDataFrame([], "series_id string, regime int, occupancy double, self_prob double, variance double")
+    got = sorted(tuple(r) for r in hmm.warnings(spark.createDataFrame(rows, hmm.FIT), none).collect())
+    assert got == [("a", "em_non_monotonicity", None, 0.5), ("a", "em_non_monotonicity", None, 1.0), ("a", "unstable_across_starts", None, 2.0)]

@@ -258,6 +258,23 @@ def warnings(fits: DataFrame, regimes: DataFrame) -> DataFrame:
 
 
 REGIME = "struct<regime:int,occupancy:double,hard_count:bigint,self_prob:double,expected_duration:double,mean:double,variance:double>"
+
+
+def _regimes(p: K.Params, s: np.ndarray) -> list[dict]:
+    stay, top = np.diag(p.transition), K.dominant(s)
+    lasts = [1 / (1 - x) if abs(1 - x) >= np.finfo(float).eps else float("inf") for x in stay]
+    return [{"regime": j, "occupancy": float(s[:, j].mean()), "hard_count": int((top == j).sum()), "self_prob": float(stay[j]), "expected_duration": float(lasts[j]), "mean": float(p.means[j]), "variance": float(p.variances[j])} for j in range(p.k)]
+
+
+def regimes(obs: DataFrame, params: K.Params | DataFrame) -> DataFrame:
+    """As regime_summary of smooth_rows, summed up where a series is smoothed: no row leaves with its probabilities."""
+
+    def body(pdf: pd.DataFrame, p: K.Params) -> pd.DataFrame:
+        return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], **r} for r in _regimes(p, K.smooth(p, K.forward_filter(p.check(), pdf["y"].to_numpy(float))))])
+
+    return per_series(obs.select(SERIES, "t", "y"), params, body, f"{SERIES} string, {REGIME[7:-1].replace(':', ' ').replace(',', ', ')}")
+
+
 DEVIATIONS = ("max_filtered_dev", "max_smoothed_dev", "max_xi_dev", "max_marginal_dev")
 
 #: Fixed value: the largest deviation of a posterior's sums that a trustworthy fit may have.
@@ -278,9 +295,7 @@ def diagnose(obs: DataFrame, fits: DataFrame) -> DataFrame:
         s = K.smooth(p, f)
         xi = K.pairwise(p, f, s)
         sums = [f.filtered.sum(1) - 1, s.sum(1) - 1, xi.sum((1, 2)) - 1, xi.sum(1) - s[1:]]
-        stay, top = np.diag(p.transition), K.dominant(s)
-        lasts = [1 / (1 - x) if abs(1 - x) >= np.finfo(float).eps else float("inf") for x in stay]
-        regimes = [{"regime": j, "occupancy": float(s[:, j].mean()), "hard_count": int((top == j).sum()), "self_prob": float(stay[j]), "expected_duration": float(lasts[j]), "mean": float(p.means[j]), "variance": float(p.variances[j])} for j in range(p.k)]
+        regimes = _regimes(p, s)
         return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], **{c: float(np.abs(x).max(initial=0.0)) for c, x in zip(DEVIATIONS, sums)}, "regimes": regimes}])
 
     passed = per_series(obs, best.select(SERIES, "pi", "transition", "means", "variances"), body, f"{SERIES} string, {', '.join(f'{c} double' for c in DEVIATIONS)}, regimes array<{REGIME}>")

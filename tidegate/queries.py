@@ -572,7 +572,7 @@ def diagnose(spark, sf_dir):
 
 @query("diagnostic_warnings")
 def diagnostic_warnings(spark, sf_dir):
-    return hmm.warnings(fits(spark, sf_dir, 2, 0.5), hmm.regime_summary(hmm.smooth_rows(obs(spark, sf_dir), MODEL), MODEL))
+    return hmm.warnings(fits(spark, sf_dir, 2, 0.5), hmm.regimes(obs(spark, sf_dir), MODEL))
 
 
 @query("changepoints", f"{ONLINE}, s AS (SELECT series_id, t, {TOP} AS state FROM flt) SELECT series_id, t FROM (SELECT *, lag(state) OVER {WT} AS b FROM s) WHERE state <> b")
