@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +51,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """The driver's heap is collected: plans, broadcasts and shuffle files of actions that have ended go, and the JVM gives memory back. For loops
+    whose number of actions grows with the input; a call takes some tenths of a second."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def need(df: DataFrame, columns: Iterable[str], op: str) -> None:
     """A missing input column is an error of the caller, told at once."""
     missing = [c for c in columns if c not in df.columns]

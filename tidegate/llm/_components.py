@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import Scratch
+from ._base import Scratch, release
 
 
 def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
@@ -23,13 +23,15 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
         low = scratch.table(edges.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), f"{name}-low-{done}")
         root = low.select(F.col("v").alias("u"), F.col("m").alias("up"))
         # what is left to do: a node with two parents, or a parent that has a parent itself
-        settled = edges.join(root, "u", "left_semi").limit(1).count() == 0 and low.where("n > 1").limit(1).count() == 0
+        settled = low.where("n > 1").limit(1).count() == 0 and edges.join(root, "u", "left_semi").limit(1).count() == 0
         if settled:
             return low.select("v", "m").unionByName(low.select(F.col("m").alias("v"), "m").distinct()).toDF("node", "component")
         others = edges.join(low.select("v", "m"), "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         hooked = low.select("v", F.col("m").alias("u")).unionByName(others)
-        jumped = hooked.join(root, "u", "left").select("v", F.coalesce("up", "u").alias("u")).where("v <> u")
-        keep = hooked.join(root, "u", "left").where("up IS NOT NULL").select(F.col("u").alias("v"), F.col("up").alias("u"))
-        nxt = scratch.table(jumped.unionByName(keep).select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct(), f"{name}-{done + 1}")
+        # (v, u) jumps to u's parent, and a u with a parent keeps it: both come from one join, as a plan of half the size is less for the driver
+        parents = hooked.join(root, "u", "left").select(F.explode(F.array(F.struct("v", F.coalesce("up", "u").alias("u")), F.struct(F.col("u").alias("v"), F.col("up").alias("u")))).alias("e"))
+        rows = parents.select("e.v", "e.u").where("u IS NOT NULL AND v <> u")
+        nxt = scratch.table(rows.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct(), f"{name}-{done + 1}")
         scratch.drop(f"{name}-{done}", f"{name}-low-{done}")
         edges, done = nxt, done + 1
+        release(scratch.spark)
