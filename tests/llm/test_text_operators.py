@@ -100,6 +100,30 @@ def test_join_with_salted_cells_equals_brute_force(spark, monkeypatch):
     assert got == brute_components(rows, 3, 80)
 
 
+def test_giant_cells_copy_no_text_that_has_no_link_and_few_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(90)]
+    apart = [passage + [word() for _ in range(60)] for _ in range(120)]  # chained by the passage, and linked with nothing
+    bases = [passage + [word() for _ in range(60)] for _ in range(40)]
+    near = [b[:-1] + [word()] for b in bases]  # each linked with its base
+    rows = [(i, " ".join(w)) for i, w in enumerate([*apart, *bases, *near])]
+    seen, join_blocks = [], ngram_join._join_blocks
+    monkeypatch.setattr(ngram_join, "_join_blocks", lambda r, k, per_cent: (seen.append(r.count()), join_blocks(r, k, per_cent))[1])
+    df = docs_of(spark, [(i, t, "a") for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, k=5, per_cent=80, block_rows=4).collect()}
+    assert got == brute_components(rows, 5, 80) and sum(c < i for i, (_, c) in got.items()) == 40
+    # 80 documents in 20 blocks: each once and the pivots in each block, then at most 9 partners of a block in each of 3 rounds
+    assert 1 < len(seen) <= 4 and seen[0] <= 80 + 16 * 20 and max(seen[1:]) <= 9 * 80, seen
+
+
+def test_linkable_keeps_each_document_with_a_link(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i x"), (3, "a b c d e q r s t u"), (4, "k l m n o"), (5, None), (6, "a b c d e f g h i j"), (6, "y z")]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    ids = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 5), (6, 2)], "id bigint, least bigint")
+    assert sorted(r[0] for r in ngram_join.linkable(ids, texts, 1, 80, 40).collect()) == [1, 2, 6]
+
+
 def test_buckets_hold_copies_that_lie_in_many_tasks(spark, monkeypatch):
     rng = random.Random(9)
     sets = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(100)]

@@ -18,9 +18,11 @@ tree is a forest whose trunks no link can cross:
    arrays of ten bytes each, and a task sends one row for a route however many of its documents have it.
 3. In each cell an R-tree over count vectors gives the pairs that may be linked; only pairs that
    aren't yet connected are verified, so a group of m copies costs about m verifications.
-4. A cell beyond the bounds is dealt into blocks. Each block also gets the cell's pivots, which
+4. A cell beyond the bounds first loses the documents that can't have a link: a link takes a share t of a set's
+   shingles, so a set that has fewer in common with all others together is out, before its text moves. What is
+   left beyond the bounds is dealt into blocks. Each block also gets the cell's pivots, which
    connects groups of near copies across blocks; only where a cell still falls into several
-   components, pairs of blocks are compared too. Nothing is capped.
+   components, pairs of blocks are compared too, in rounds, so that a text has few copies at a time. Nothing is capped.
 
 Groups that hold few shingles (empty ones above all), or only such as many documents have (of a passage that
 is everywhere), would route unrelated texts together. With w groups more than r+1, at least w+1
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._base import Scratch, join_small, need, quoted, schema
+from ._base import Scratch, join_small, need, quoted, release, schema
 from ._components import connected_components
 
 #: Ratio of a size class's greatest to its least size; deviations by which weak groups should stay below the slack.
@@ -384,7 +386,12 @@ FILTER_BITS = 1 << 25
 
 
 def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows (id, ...) with the texts of their ids. A bitmap of hashed ids, of a fixed size, is broadcast and drops other texts before the shuffle."""
+    """rows (id, ...) with the texts of their ids."""
+    return rows.join(sifted(rows, texts), "id")
+
+
+def sifted(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts (id, text) of the ids in rows and of few others: a bitmap of hashed ids, of a fixed size, is broadcast and drops the rest before any shuffle."""
 
     def place(c: str) -> Column:
         return F.pmod(F.xxhash64(c, F.lit(7)), F.lit(FILTER_BITS)) + 1
@@ -393,8 +400,81 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     bit = F.bitmap_bit_position("p")
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     wanted = F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2 == 1
-    some = texts.withColumn("p", place("id")).withColumn("bucket", F.bitmap_bucket_number("p")).join(F.broadcast(bits), "bucket").where(wanted).select("id", "text")
-    return rows.join(some, "id")
+    return texts.withColumn("p", place("id")).withColumn("bucket", F.bitmap_bucket_number("p")).join(F.broadcast(bits), "bucket").where(wanted).select("id", "text")
+
+
+def _pack_shingles(k: int, buckets: int):
+    """Documents to rows (bucket, ids, counts, shingles): 32 bits of each shingle of a bucket, document by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size = [], [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            u, own, ids_ = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), np.array(ids, np.int64)
+            b = ((u >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            u, own, b = u[order].astype("<u4"), own[order], b[order]
+            cut = np.searchsorted(b, np.arange(buckets + 1))
+            rows = []
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                at, counts = np.unique(own[cut[i] : cut[i + 1]], return_counts=True)
+                rows.append((i, ids_[at].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), u[cut[i] : cut[i + 1]].tobytes()))
+            for a in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "counts", "shingles"])
+
+        for batch in batches:
+            for doc_id, u in zip(batch.column(0).to_pylist(), _vec.shingle_sets(batch.column(1), k)):
+                if len(u):
+                    held.append(u)
+                    ids.append(doc_id)
+                    size += len(u)
+                if size >= HELD:
+                    yield from send()
+                    held, ids, size = [], [], 0
+        if held:
+            yield from send()
+        held, ids = [], []
+        _vec.trim()
+
+    return run
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by bucket to (id, shared): shingles of the bucket that a document has in common with another; holds one bucket."""
+    now, ids, shingles_ = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if now is None:
+            return
+        _, at, times = np.unique(np.concatenate(shingles_), return_inverse=True, return_counts=True)
+        docs, own = np.unique(np.concatenate(ids), return_inverse=True)
+        shared = np.bincount(own, weights=times[at] > 1, minlength=len(docs)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[shared > 0]), pa.array(shared[shared > 0])], ["id", "shared"])
+
+    for batch in batches:
+        for bucket, of, counts, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket != now:
+                yield from done()
+                now, ids, shingles_ = bucket, [], []
+            ids.append(np.repeat(np.frombuffer(of, "<i8"), np.frombuffer(counts, "<u4")))
+            shingles_.append(np.frombuffer(payload, "<u4"))
+    yield from done()
+    ids, shingles_ = [], []
+    _vec.trim()
+
+
+def linkable(rows: DataFrame, texts: DataFrame, k: int, per_cent: int, shingles_: int) -> DataFrame:
+    """Those of rows (id, least, ...) that can be linked with another: least, the size of the id's smallest set, times per_cent / 100 of its shingles
+    must be in other texts of rows. Shingles that fall together by their hashes, or rows that the bitmap lets through, only let more pass."""
+    buckets = min(shingles_ // HELD + 1, 1 << 24)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    packed = sifted(rows, texts).mapInArrow(_pack_shingles(k, buckets), schema(bucket="int", ids="binary", counts="binary", shingles="binary"))
+    shared = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, schema(id="long", shared="long")).groupBy("id").agg(F.sum("shared").alias("shared"))
+    return rows.join(shared, "id").where(F.col("shared") * 100 >= F.col("least") * per_cent).drop("shared")
+
+
+#: Copies of a text that a round of block pairs has at most, roughly: they are on the disks at the same time.
+ROUND_COPIES = 8
 
 
 def _join_blocks(rows: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -424,19 +504,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = common_shingles(docs, id_col, text_col, k, folded)
     met = connected_components(meetings(docs, id_col, text_col, k, per_cent, int(total), common), scratch, "cells")
     # An id that stands in several rows can represent several sets; it is one node.
-    reps = folded.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    reps = folded.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.min("n").alias("least"))
     cells = scratch.table(met.select(F.col("node").alias("id"), F.col("component").alias("cell")).join(reps, "id"), "cells")
+    texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
+
+    def sizes(cells: DataFrame, name: str) -> tuple[DataFrame, DataFrame, tuple]:
+        blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("long")
+        stats = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).where("rows > 1").select("cell", "weight", blocks.alias("blocks")), f"stats{name}")
+        giants = scratch.table(stats.where("blocks > 1"), f"giants{name}")
+        return stats.select("cell", "blocks"), giants.select("cell", "blocks"), giants.agg(F.count("*"), F.sum("weight")).first()
 
-    blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("long")
-    stats = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).where("rows > 1").select("cell", blocks.alias("blocks")), "stats")
-    giants = scratch.table(stats.where("blocks > 1"), "giants")
-    n_giants = giants.count()
+    stats, giants, (n_giants, weight) = sizes(cells, "")
+    if n_giants:
+        # Passages that many texts share chain cells of documents that are linked with nothing: these go, and cells are measured again.
+        marked = _by_cell(cells, giants, n_giants)
+        thin = linkable(marked.where("blocks IS NOT NULL").select(*cells.columns), texts, k, per_cent, int(weight))
+        cells = scratch.table(marked.where("blocks IS NULL").select(*cells.columns).unionByName(thin), "thin")
+        stats, giants, (n_giants, _) = sizes(cells, "-thin")
+        release(spark)
     # Cells without a row in giants have block_rows rows at most, so the join that drops those of one document has no hot key.
     marked = _by_cell(cells.select("id", "cell"), giants, n_giants)
     small = marked.where("blocks IS NULL").select("id", "cell").join(stats.where("blocks = 1").select("cell"), "cell", "left_semi").withColumn("blocks", F.lit(1).cast("long"))
     plan = scratch.table(marked.where("blocks IS NOT NULL").unionByName(small).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "cell", "blocks", "block"), "plan")
 
-    texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
     none = F.lit(None).cast("long")
     own = plan.select("cell", "block", "id", none.alias("comp"), none.alias("side"))
     if n_giants:
@@ -445,6 +535,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = own.unionByName(low.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("p.id").alias("id"), none.alias("comp"), none.alias("side"))).distinct()
     links = scratch.table(_join_blocks(with_texts(own, texts), k, per_cent), "links")
     if n_giants:
+        release(spark)
         links = _across_blocks(links, plan, texts, scratch, k, per_cent, n_giants)
 
     # Members of a set, and ids in several rows, are links too; both are one row for each document at most.
@@ -469,7 +560,8 @@ def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch:
     """Links between blocks of a giant cell, where its documents aren't one component yet.
 
     The rows outside the cell's largest component are compared with all rows of the other blocks,
-    pair of blocks by pair of blocks; each task holds two blocks."""
+    pair of blocks by pair of blocks; each task holds two blocks. A text is copied for each pair of its block, so pairs
+    are dealt into rounds, and the disks have the copies of one round only."""
     got = scratch.table(connected_components(links, scratch, "inner").select(F.col("node").alias("id"), "component"), "inner")
     rows = plan.where("blocks > 1").join(got, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("cell", "block", "blocks", "id", "comp")
     counts = rows.groupBy("cell", "comp").agg(F.count("*").alias("n"))
@@ -481,8 +573,14 @@ def _across_blocks(links: DataFrame, plan: DataFrame, texts: DataFrame, scratch:
     # A block with rest rows meets every other block: the pair's lower block first.
     pairs = active.select("cell", "blocks", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y")).where("x <> y")
     pairs = pairs.select("cell", "blocks", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
-    sides = pairs.select("cell", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).cast("long").alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).cast("long").alias("side")))).alias("s"), (F.col("i") * F.col("blocks") + F.col("j")).alias("pair"))
-    tasks = sides.select("cell", "pair", F.col("s.block").alias("block"), F.col("s.side").alias("side"))
-    dealt = rows.join(tasks, ["cell", "block"]).select("cell", F.col("pair").alias("block"), "id", "comp", "side")
-    more = scratch.table(_join_blocks(with_texts(dealt, texts), k, per_cent), "across")
-    return links.unionByName(more)
+    rounds = -(-rows.agg(F.max("blocks")).first()[0] // ROUND_COPIES)
+    sides = pairs.select("cell", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).cast("long").alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).cast("long").alias("side")))).alias("s"), (F.col("i") * F.col("blocks") + F.col("j")).alias("pair"), F.pmod(F.col("i") + F.col("j"), F.lit(rounds)).alias("round"))
+    tasks = scratch.table(sides.select("cell", "pair", F.col("s.block").alias("block"), F.col("s.side").alias("side"), "round"), "tasks")
+    whole = scratch.table(with_texts(rows.select("cell", "block", "id", "comp"), texts), "rest-texts")
+    for r in range(rounds):
+        release(scratch.spark)
+        now = F.broadcast(tasks.where(F.col("round") == r).drop("round"))
+        dealt = whole.join(now, ["cell", "block"]).select("cell", F.col("pair").alias("block"), "id", "comp", "side", "text")
+        links = links.unionByName(scratch.table(_join_blocks(dealt, k, per_cent), f"across-{r}"))
+    scratch.drop("rest-texts")
+    return links
