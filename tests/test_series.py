@@ -7,12 +7,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate import queries as Q
 from tidegate.functions import kernels as K
 from tidegate.operators import calibrate, clean, detect, evaluate, features, hmm, scan
 from tidegate.sources import files, store, vendor
 from tidegate.streaming import online
 
 P = K.Params([0.5, 0.5], [[0.9, 0.1], [0.1, 0.9]], [-3.0, 3.0], [1.0, 1.0])
+SF = "/root/testdata/sf0.001"
 
 
 def bars(spark, rows):
@@ -255,3 +257,25 @@ def test_warnings_of_fits_are_one_for_each_start_and_series(spark):
     none = spark.createDataFrame([], "series_id string, regime int, occupancy double, self_prob double, variance double")
     got = sorted(tuple(r) for r in hmm.warnings(spark.createDataFrame(rows, hmm.FIT), none).collect())
     assert got == [("a", "em_non_monotonicity", None, 0.5), ("a", "em_non_monotonicity", None, 1.0), ("a", "unstable_across_starts", None, 2.0)]
+
+
+def test_warnings_are_of_the_fitted_regimes(spark):
+    start = dt.datetime(2024, 1, 1)
+    obs = spark.createDataFrame([(s, t, start + dt.timedelta(days=t), float((t * 7) % 5 - 2)) for s in ("a", "b", "c") for t in range(40, 0, -1)], "series_id string, t bigint, ts timestamp_ntz, y double")
+    sound, suspect = ([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [-1.0, 1.0], [1.0, 1.0]), ([1.0, 0.0], [[1.0, 0.0], [0.5, 0.5]], [0.0, 50.0], [2.0, 1e-5])
+    fits = [("a", 0, 2, *sound, -50.0, 2, True, [-60.0, -50.0]), ("a", 1, 2, *suspect, -48.0, 2, True, [-47.5, -48.0]), ("b", 0, 2, *suspect, -50.5, 1, True, [-60.0, -50.5]), ("b", 1, 2, *sound, -50.0, 1, True, [-60.0, -50.0])]
+    fits = spark.createDataFrame(fits, hmm.FIT)
+    got = sorted(tuple(r) for r in hmm.fit_warnings(obs, fits).collect())
+    assert [r[:3] for r in got] == [("a", "em_non_monotonicity", None), ("a", "near_zero_variance", 1), ("a", "nearly_unused_regime", 1), ("a", "suspicious_persistence", 0), ("a", "unstable_across_starts", None)]
+    assert [r[3] for r in got] == [0.5, 1e-5, pytest.approx(0.0, abs=1e-9), 1.0, 2.0]
+    assert got == sorted(tuple(r) for r in hmm.warnings(fits, hmm.regimes(obs.where("series_id <> 'c'"), hmm.best_fit(fits))).collect())
+
+
+def test_diagnostic_warnings_hang_on_the_fits(spark, monkeypatch):
+    """A fit with a regime that is never left is told, whatever the fixed model is like."""
+    fixed = {"k": 2, "pi": [1.0, 0.0], "transition": [[1.0, 0.0], [0.5, 0.5]], "means": [0.0, 50.0], "variances": [1.0, 1.0]}
+    made = lambda spark, sf, *_: Q.obs(spark, sf).groupBy("series_id").agg(F.lit(0).alias("start"), *[F.lit(v).alias(c) for c, v in fixed.items()], F.lit(-5.0).alias("log_likelihood"), F.array(F.lit(-6.0), F.lit(-5.0)).alias("history"))
+    monkeypatch.setattr(Q, "fits", made)
+    got = sorted((r["series_id"], r["kind"], r["regime"]) for r in Q.QUERIES["diagnostic_warnings"](spark, SF).collect())
+    series = sorted(r[0] for r in Q.obs(spark, SF).select("series_id").distinct().collect())
+    assert got == sorted((s, k, j) for s in series for k, j in (("nearly_unused_regime", 1), ("suspicious_persistence", 0)))

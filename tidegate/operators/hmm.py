@@ -234,27 +234,42 @@ def convergence(fits: DataFrame) -> DataFrame:
 NEAR_ZERO_VARIANCE, RARE_SHARE, ABSORBING, UNSTABLE_SPREAD, DROP_TOL = 1e-4, 0.01, 1 - 1e-6, 1.0, 1e-8
 
 
-def warnings(fits: DataFrame, regimes: DataFrame) -> DataFrame:
-    """(series_id, kind, regime, value) of what is suspect about fits: variances near zero, regimes hardly used or never left, lost likelihood, starts that disagree."""
-    def found(rows: DataFrame, lists: Column) -> DataFrame:
-        return rows.select(SERIES, F.explode(lists).alias("w")).select(SERIES, "w.*")
+def _warn(kind: str, value, regime: Column | None = None) -> Column:
+    regime = F.lit(None) if regime is None else regime
+    return F.struct(F.lit(kind).alias("kind"), regime.cast("int").alias("regime"), value.alias("value"))
+
+
+def _where(c: Column, x: Column) -> Column:
+    return F.when(c, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
 
-    def warn(kind: str, value, regime: Column | None = None) -> Column:
-        regime = F.lit(None) if regime is None else regime
-        return F.struct(F.lit(kind).alias("kind"), regime.cast("int").alias("regime"), value.alias("value"))
 
-    def where(c: Column, x: Column) -> Column:
-        return F.when(c, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
+def _of_regime(of: Callable[[str], Column]) -> Column:
+    """What is suspect about a regime, as a list; of: its fields by name."""
+    v, o, p = of("variance"), of("occupancy"), of("self_prob")
+    kinds = [(v < NEAR_ZERO_VARIANCE, "near_zero_variance", v), (o < RARE_SHARE, "nearly_unused_regime", o), (p > ABSORBING, "suspicious_persistence", p)]
+    return F.concat(*[_where(c, _warn(kind, x, of("regime"))) for c, kind, x in kinds])
 
-    # fits and regimes are read once each: what they come from takes long, and a union would run it for each of its parts
-    v, o, p = F.col("variance"), F.col("occupancy"), F.col("self_prob")
-    of_regime = [(v < NEAR_ZERO_VARIANCE, "near_zero_variance", v), (o < RARE_SHARE, "nearly_unused_regime", o), (p > ABSORBING, "suspicious_persistence", p)]
+
+def _runs(fits: DataFrame, *more: Column) -> DataFrame:
+    """(series_id, spread, drops, more) of all starts: their largest loss of likelihood each, where they lost any."""
     steps = F.transform(F.sequence(F.lit(1), F.size("history") - 1), lambda i: F.get("history", i) - F.get("history", i - 1))
-    least = F.when(F.size("history") > 1, F.array_min(steps))
-    runs = fits.select(SERIES, "log_likelihood", least.alias("least")).groupBy(SERIES)
-    runs = runs.agg((F.max("log_likelihood") - F.min("log_likelihood")).alias("spread"), F.collect_list(F.when(~(F.col("least") >= -DROP_TOL), -F.col("least"))).alias("drops"))
-    of_runs = F.concat(F.transform("drops", lambda x: warn("em_non_monotonicity", x)), where(F.col("spread") > UNSTABLE_SPREAD, warn("unstable_across_starts", F.col("spread"))))
-    return found(regimes, F.concat(*[where(c, warn(kind, x, F.col("regime"))) for c, kind, x in of_regime])).unionByName(found(runs, of_runs))
+    runs = fits.withColumn("least", F.when(F.size("history") > 1, F.array_min(steps))).groupBy(SERIES)
+    return runs.agg((F.max("log_likelihood") - F.min("log_likelihood")).alias("spread"), F.collect_list(F.when(~(F.col("least") >= -DROP_TOL), -F.col("least"))).alias("drops"), *more)
+
+
+def _of_runs() -> Column:
+    return F.concat(F.transform("drops", lambda x: _warn("em_non_monotonicity", x)), _where(F.col("spread") > UNSTABLE_SPREAD, _warn("unstable_across_starts", F.col("spread"))))
+
+
+def _found(rows: DataFrame, lists: Column) -> DataFrame:
+    return rows.select(SERIES, F.explode(lists).alias("w")).select(SERIES, "w.*")
+
+
+def warnings(fits: DataFrame, regimes: DataFrame) -> DataFrame:
+    """(series_id, kind, regime, value) of what is suspect about fits: variances near zero, regimes hardly used or never left, lost likelihood, starts that disagree.
+
+    regimes: those of the fitted parameters. fits and regimes are read once each: what they come from takes long, and a union would run it for each of its parts."""
+    return _found(regimes, _of_regime(F.col)).unionByName(_found(_runs(fits), _of_runs()))
 
 
 REGIME = "struct<regime:int,occupancy:double,hard_count:bigint,self_prob:double,expected_duration:double,mean:double,variance:double>"
@@ -275,6 +290,28 @@ def regimes(obs: DataFrame, params: K.Params | DataFrame) -> DataFrame:
     return per_series(obs.select(SERIES, "t", "y"), params, body, f"{SERIES} string, {REGIME[7:-1].replace(':', ' ').replace(',', ', ')}")
 
 
+def fit_warnings(obs: DataFrame, fits: DataFrame) -> DataFrame:
+    """warnings of fits, with the regimes of each series' best one: its parameters go over the series once more.
+
+    Regimes come from fits, which are to be made once all the same, so what their histories tell goes along with the best one's parameters.
+    A series without a fit or without rows has no warnings."""
+    best = F.max_by(F.struct("pi", "transition", "means", "variances"), F.struct("log_likelihood", "start")).alias("best")
+    runs = _runs(fits, best).select(SERIES, F.struct("spread", "drops", "best").alias("run"))
+    out = f"{SERIES} string, spread double, drops array<double>, regimes array<{REGIME}>"
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        of_fit = pdf["t"].isna()
+        y = pdf.loc[~of_fit, ["t", "y"]].sort_values("t")["y"].to_numpy(float)
+        if not len(y) or not of_fit.any():
+            return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], "spread": None, "drops": None, "regimes": None}])
+        run = pdf.loc[of_fit, "run"].iloc[0]
+        p = params_of(run["best"])
+        return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], "spread": run["spread"], "drops": list(run["drops"]), "regimes": _regimes(p, K.smooth(p, K.forward_filter(p, y)))}])
+
+    rows = obs.where("t IS NOT NULL").select(SERIES, "t", "y").unionByName(runs, allowMissingColumns=True).groupBy(SERIES).applyInPandas(body, out)
+    return _found(rows, F.concat(F.flatten(F.transform("regimes", lambda r: _of_regime(lambda c: r[c]))), _of_runs()))
+
+
 DEVIATIONS = ("max_filtered_dev", "max_smoothed_dev", "max_xi_dev", "max_marginal_dev")
 
 #: Fixed value: the largest deviation of a posterior's sums that a trustworthy fit may have.

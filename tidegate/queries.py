@@ -572,7 +572,8 @@ def diagnose(spark, sf_dir):
 
 @query("diagnostic_warnings")
 def diagnostic_warnings(spark, sf_dir):
-    return hmm.warnings(fits(spark, sf_dir, 2, 0.5), hmm.regimes(obs(spark, sf_dir), MODEL))
+    """Warnings of fits from two starts; regimes are those of the best fit."""
+    return hmm.fit_warnings(obs(spark, sf_dir), fits(spark, sf_dir, 2, 0.5))
 
 
 @query("changepoints", f"{ONLINE}, s AS (SELECT series_id, t, {TOP} AS state FROM flt) SELECT series_id, t FROM (SELECT *, lag(state) OVER {WT} AS b FROM s) WHERE state <> b")
